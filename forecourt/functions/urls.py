@@ -122,7 +122,7 @@ def has_image_extension(path: Column | str) -> Column:
 
 def best_source(srcset: Column | str) -> Column:
     """Best candidate of a srcset: the largest width, with densities counted as thousands of pixels."""
-    parts = F.filter(F.transform(F.split(_c(srcset), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(_c(srcset), ","), lambda p: F.trim(p)), lambda p: p != "")
 
     def weighed(part: Column) -> Column:
         bits = F.split(part, r"\s+")

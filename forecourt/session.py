@@ -39,6 +39,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="forecourt-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder itself, for tables that must outlive a job."""
+    ensure_checkpoint_dir(spark)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iteration's state in reliable storage, so that a lost executor costs no replay."""
     ensure_checkpoint_dir(df.sparkSession)

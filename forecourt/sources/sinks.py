@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 RECORD = ["local_path", "file_hash", "phash", "ad_id", "make", "model", "year"]
 
 
-def records_as_text(records: DataFrame) -> DataFrame:
+def records_as_text(records: DataFrame, *keep: str) -> DataFrame:
     """Image records with empty text for missing values."""
-    return records.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in RECORD])
+    return records.select(*keep, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in RECORD])
 
 
 def write_metadata_csv(records: DataFrame, path: str) -> None:

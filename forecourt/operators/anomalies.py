@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from forecourt.functions import fixed
 from forecourt.operators.listings import anomaly_columns, holds, sample_active
+from forecourt.operators.once import once
 from forecourt.operators.skew import ROWS_PER_SPLIT, hot_keys, spread_join
 
 COHORT = ["year", "make", "model"]
@@ -111,15 +112,28 @@ def text_of(raw_data: str = "raw_data") -> Column:
     return F.coalesce(F.get_json_object(raw_data, "$.text_content"), F.lit(""))
 
 
-def text_rule(title: Column, text: Column) -> Column:
-    keywords = found_keywords(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), text))
-    words = words_of(text)
-    # The cheap length test comes first: a text of n words has at least 2n - 1 characters.
-    long_enough = (F.length(text) > 200) & (F.size(words) > 100)
-    repeated = F.when(long_enough, top_word_count(words) > F.size(words) * F.lit(0.1)).otherwise(F.lit(False))
+def described(ads: DataFrame, text: Column) -> DataFrame:
+    """Ads with the columns the text rule reads: the text, its words and how often the top one occurs.
+
+    Only a text with more than 100 words is split; it has more than 200 characters.
+    """
+    none = F.array().cast("array<string>")
+    return (
+        ads.withColumn("__text", text)
+        .withColumn("__words", F.when(F.length("__text") > 200, words_of(F.col("__text"))).otherwise(none))
+        .withColumn("__top", F.when(F.size("__words") > 100, top_word_count(F.col("__words"))).otherwise(F.lit(0)))
+        .withColumn("__keywords", found_keywords(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("__text"))))
+    )
+
+
+def text_rule() -> Column:
+    keywords = F.col("__keywords")
     return F.coalesce(
         finding(F.size(keywords) > 2, F.concat(F.lit("Suspicious keywords: "), F.array_join(keywords, ", ")), F.lit(0.3)),
-        finding(repeated, F.lit("Excessive word repetition in description"), F.lit(0.2)),
+        finding(
+            (F.size("__words") > 100) & (F.col("__top") > F.size("__words") * F.lit(0.1)),
+            F.lit("Excessive word repetition in description"), F.lit(0.2),
+        ),
     )
 
 
@@ -130,13 +144,14 @@ def score_ads(
     rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
     """All findings of every ad, flagged or not, in the order price, mileage, year, dealer, images, text."""
-    described = text_of() if text is None else text
-    rows = with_price_zscore(ads, rows_per_split).withColumn("__text", described)
+    rows = described(with_price_zscore(ads, rows_per_split), text_of() if text is None else text)
     found = F.array(
         price_rule(), mileage_rule(ref_year), year_rule(ref_year), dealer_rule(), image_rule(),
-        text_rule(F.col("title"), F.col("__text")),
+        text_rule(),
+    )
+    rows = once(rows, "findings", F.filter(found, lambda f: f.isNotNull())).drop(
+        "__text", "__words", "__top", "__keywords"
     )
-    rows = rows.withColumn("findings", F.filter(found, lambda f: f.isNotNull())).drop("__text")
     total = F.aggregate("findings", F.lit(0.0), lambda acc, f: acc + f["score"])
     return rows.withColumns({
         "is_anomaly": F.size("findings") > 0,

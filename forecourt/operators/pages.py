@@ -128,57 +128,62 @@ def _below(rows: DataFrame, holder: str = "holder") -> DataFrame:
     return rows.withColumn(holder, F.explode("ancestors")).drop("ancestors")
 
 
+def picture_sources() -> Column:
+    """Addresses an element shows: its source if it is a picture, and its background image."""
+    given = F.coalesce(F.nullif("attr_src", F.lit("")), F.nullif("attr_data_src", F.lit("")))
+    pattern = r"""background-image:\s*url\(["']?([^"']+)["']?\)"""
+    background = F.nullif(F.regexp_extract(F.coalesce("attr_style", F.lit("")), pattern, 1), F.lit(""))
+    shown = F.array(F.when(F.col("tag") == "img", given), background)
+    return F.filter(shown, lambda s: s.isNotNull())
+
+
+def car_pictures(base: str = fixed.SITE_BASE_URL) -> Column:
+    """Absolute addresses of the likely car pictures an element shows."""
+    complete = F.transform(picture_sources(), lambda s: urls.absolute_url(s, base))
+    return F.filter(complete, urls.is_car_image)
+
+
 def element_images(rows: DataFrame, base: str = fixed.SITE_BASE_URL) -> DataFrame:
-    """Absolute addresses of likely car pictures: image tags and background images, with their place."""
-    tag_source = F.coalesce(F.nullif("attr_src", F.lit("")), F.nullif("attr_data_src", F.lit("")))
-    background = F.nullif(
-        F.regexp_extract(
-            F.coalesce("attr_style", F.lit("")), r"""background-image:\s*url\(["']?([^"']+)["']?\)""", 1
-        ),
-        F.lit(""),
-    )
-    found = F.when(F.col("tag") == "img", F.array(tag_source, background)).otherwise(F.array(background))
-    sources = F.filter(found, lambda s: s.isNotNull())
-    return (
-        rows.filter((F.col("tag") == "img") | F.col("attr_style").isNotNull())
-        .select("page_id", "ord", "ancestors", F.posexplode(sources).alias("pos", "src"))
-        .withColumn("url", urls.absolute_url("src", base))
-        .filter(urls.is_car_image("url"))
-        .select("page_id", "ord", "ancestors", "pos", "url")
-    )
+    """Likely car pictures with the element that shows them."""
+    showing = rows.filter((F.col("tag") == "img") | F.col("attr_style").isNotNull())
+    return showing.select("page_id", "ord", "ancestors", F.posexplode(car_pictures(base)).alias("pos", "url"))
 
 
 def container_fields(rows: DataFrame, base: str = fixed.SITE_BASE_URL) -> DataFrame:
     """Fields of every listing-like element: those of its own text, overridden by its details.
 
-    The text of an element is parsed once and its fields travel to the elements around it; the first
-    detail in page order wins.
+    The text of an element is parsed once; the element then sends its fields to itself and to the
+    elements around it, which combine them. The first detail in page order wins.
     """
-    named = ["page_id", "ord"]
-    read = (
-        rows.filter(F.col("tag").isin([*LISTING_TAGS, *DETAIL_TAGS]) & (F.coalesce("text", F.lit("")) != ""))
-        .select(*named, "ancestors", "tag", "text", "raw_text", text.extract_fields("text").alias("own"))
+    is_holder, is_detail = F.col("tag").isin(LISTING_TAGS), F.col("tag").isin(DETAIL_TAGS)
+    has_text = F.coalesce("text", F.lit("")) != ""
+    wanted = ((is_holder | is_detail) & has_text) | (F.col("tag") == "img") | F.col("attr_style").isNotNull()
+    shown = rows.filter(wanted).withColumn("shown", car_pictures(base)).select(
+        "page_id", "ord", "ancestors", "tag", "text", "raw_text", "shown"
     )
-    some = F.coalesce(*[F.col(f"own.{f}").cast("string") for f in text.FIELDS]).isNotNull()
-    details = (
-        _below(read.filter(F.col("tag").isin(DETAIL_TAGS) & some).select("page_id", "ord", "ancestors", "own"))
-        .groupBy("page_id", "holder")
-        .agg(*[
-            F.min(F.when(F.col(f"own.{f}").isNotNull(), F.struct("ord", F.col(f"own.{f}").alias("v"))))["v"].alias(f"detail_{f}")
-            for f in text.FIELDS
-        ])
-        .withColumnRenamed("holder", "ord")
+    read = text.with_fields(shown, "text", "own")
+    found = F.coalesce(*[F.col(f"own.{f}").cast("string") for f in text.FIELDS]).isNotNull()
+    nobody = F.array().cast("array<int>")
+    sent = read.withColumn("holder", F.explode(F.concat(
+        F.when(is_holder & has_text, F.array("ord")).otherwise(nobody),
+        F.when((is_detail & found) | (F.size("shown") > 0), F.col("ancestors")).otherwise(nobody),
+    )))
+    own = F.col("holder") == F.col("ord")
+    only_own = lambda column: F.max(F.when(own, F.col(column)))
+    detail = lambda f: F.min(
+        F.when(~own & is_detail & F.col(f"own.{f}").isNotNull(), F.struct("ord", F.col(f"own.{f}").alias("v")))
+    )["v"]
+    merged = [F.coalesce(detail(f), only_own(f"own.{f}")).alias(f"f_{f}") for f in text.FIELDS]
+    combined = sent.groupBy("page_id", "holder").agg(
+        only_own("tag").alias("tag"), only_own("text").alias("text"), only_own("raw_text").alias("raw_text"),
+        *merged,
+        # Pictures of one element of one page.
+        F.array_distinct(F.flatten(F.collect_list(F.when(~own, F.col("shown"))))).alias("image_urls"),
     )
-    pictures = (
-        _below(element_images(rows, base)).groupBy("page_id", "holder")
-        .agg(F.sort_array(F.collect_set("url")).alias("image_urls"))  # of one element of one page
-        .withColumnRenamed("holder", "ord")
-    )
-    merged = F.struct(*[F.coalesce(f"detail_{f}", f"own.{f}").alias(f) for f in text.FIELDS])
-    return (
-        read.filter(F.col("tag").isin(LISTING_TAGS)).drop("ancestors")
-        .join(details, named, "left").join(pictures, named, "left")
-        .select(*named, "tag", "text", "raw_text", merged.alias("fields"), "image_urls")
+    return combined.filter("tag is not null").select(
+        "page_id", F.col("holder").alias("ord"), "tag", "text", "raw_text",
+        F.struct(*[F.col(f"f_{f}").alias(f) for f in text.FIELDS]).alias("fields"),
+        F.when(F.size("image_urls") > 0, F.sort_array("image_urls")).alias("image_urls"),
     )
 
 
@@ -238,7 +243,7 @@ def listings(
 
 def site_listings(rows: DataFrame, make: str = "BMW", model: str = "M5") -> DataFrame:
     """Older single-site profile over listing-like elements (rows with page_id, ord, text)."""
-    read = rows.withColumn("f", text.site_fields(F.col("text"), make, model))
+    read = text.with_site_fields(rows, "text", "f", make, model)
     read = read.withColumn("made_title", text.site_title(F.col("f"), make, model))
     meaningful = F.col("f.price").isNotNull() | F.col("f.year").isNotNull() | F.contains("text", F.lit(f"{make} {model}"))
     names = ["price", "currency", "year", "mileage", "location", "dealer_name", "dealer_type", "fuel_type",
@@ -254,7 +259,7 @@ def fallback_listings(rows: DataFrame, make: str = "BMW", model: str = "M5", lim
     naming = rows.filter(F.rlike("text", F.lit(text.any_case(f"{make}.*{model}"))))
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("ord"))
     first = naming.withColumn("place", place).filter(F.col("place") <= limit)
-    read = first.withColumn("f", text.fallback_fields(F.col("text")))
+    read = text.with_fallback_fields(first, "text", "f")
     source_id = F.concat(
         F.lit(fixed.SITE_ID_PREFIX + "_alt_"), (F.col("place") - 1).cast("string"), F.lit("_"),
         F.substring(F.md5(F.substring("text", 1, 100)), 1, 8),

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from forecourt.functions import fixed
 from forecourt.operators import anomalies
-from forecourt.plans.bindings import DOCUMENT_ADS, ads_sql, ads_view, document_ads, full_ads, table, words_sql
+from forecourt.operators.once import once
+from forecourt.plans.bindings import DOCUMENT_ADS, ads_sql, ads_view, document_ads, full_ads, table, wide_table, words_sql
 from forecourt.plans.registry import query
 
 REF_YEAR = 2001
@@ -86,11 +87,13 @@ tops as (select id, sum(n) as n_words, max(n) as top from counts group by id)"""
 @query(f"""with a as (select doc_id as id, text from documents), {WORD_COUNTS}
 select id as doc_id, cast(n_words as bigint) as n_words, cast(top as bigint) as top_count, n_words > 100 and top > n_words * 0.1 as repetitive from tops""")
 def text_repetition(spark, sf_dir):
-    words = anomalies.words_of(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).filter(F.size("words") > 0)
-    top = anomalies.top_word_count(F.col("words"))
-    return rows.select("doc_id", F.size("words").cast("bigint").alias("n_words"), top.cast("bigint").alias("top_count")).withColumn(
-        "repetitive", (F.col("n_words") > 100) & (F.col("top_count") > F.col("n_words") * 0.1)
+    docs = wide_table(spark, sf_dir, "documents", "doc_id", "text")
+    rows = once(docs, "words", anomalies.words_of(F.col("text"))).filter(F.size("words") > 0)
+    counted = once(rows, "top", anomalies.top_word_count(F.col("words")))
+    n = F.size("words")
+    return counted.select(
+        "doc_id", n.cast("bigint").alias("n_words"), F.col("top").cast("bigint").alias("top_count"),
+        ((n > 100) & (F.col("top") > n * 0.1)).alias("repetitive"),
     )
 
 

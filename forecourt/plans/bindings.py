@@ -49,14 +49,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table whose rows cost much work each, on all cores.
+
+    A small file of one row group is read by one task; spreading it costs little. A large table comes
+    in many more parts than there are cores, and is left as it is.
+    """
+    rows = table(spark, sf_dir, name)
+    rows = rows.select(*columns) if columns else rows
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 4 * cores else rows
+
+
 def _needed(columns: tuple[str, ...]) -> list[str]:
     tables = {t for c in columns for t in AD_COLUMNS[c][1].split()}
     return [t for t in ("orders", "part", "customer") if t in tables]
 
 
-def ads_view(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def ads_view(spark: SparkSession, sf_dir: str, *columns: str, wide: bool = False) -> DataFrame:
     """Line items as listings; only the tables behind the asked columns are joined."""
-    out = table(spark, sf_dir, "lineitem")
+    out = wide_table(spark, sf_dir, "lineitem") if wide else table(spark, sf_dir, "lineitem")
     for name in _needed(columns):
         left, right = JOINS[name]
         out = out.join(table(spark, sf_dir, name), F.col(left) == F.col(right))
@@ -83,6 +95,7 @@ def full_ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ads_view(
         spark, sf_dir, "id", "source_id", "title", "price", "year", "make", "model", "mileage",
         "dealer_name", "dealer_type", "image_count", "image_path", "scraped_at", "is_active", "is_processed",
+        wide=True,
     )
     return with_images(rows).withColumn("raw_data", F.lit("{}"))
 
@@ -99,7 +112,7 @@ from documents"""
 
 def document_ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as listings with a long text; lengths play the price."""
-    source = table(spark, sf_dir, "documents")
+    source = wide_table(spark, sf_dir, "documents")
     rows = spark.sql(DOCUMENT_ADS.replace("from documents", "from {docs}"), docs=source)
     address = lambda i: F.concat(F.lit("https://img.example.com/"), F.col("id").cast("string"), F.lit("/"), i.cast("string"))
     numbers = F.when(F.col("image_count") > 0, F.sequence(F.lit(1), F.col("image_count"))).otherwise(F.array().cast("array<int>"))
@@ -143,7 +156,8 @@ from (select *, cast(year(o_orderdate) as int) as year, cast(l_quantity * 900 as
 
 
 def listing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LISTING_TEXTS, **{t: table(spark, sf_dir, t) for t in ("lineitem", "orders", "part")})
+    lines = wide_table(spark, sf_dir, "lineitem")
+    return spark.sql(LISTING_TEXTS, lineitem=lines, **{t: table(spark, sf_dir, t) for t in ("orders", "part")})
 
 
 def listing_texts_sql() -> str:
@@ -179,7 +193,7 @@ def spec_texts_sql() -> str:
 
 def spec_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generation pages: one per part, with two version sections, features and pictures."""
-    part = table(spark, sf_dir, "part")
+    part = wide_table(spark, sf_dir, "part")
     return spark.sql(
         """
         select p_partkey as page_id, concat('https://cars.example.com/', cast(p_partkey as string), '.html') as url,
@@ -200,26 +214,25 @@ def spec_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
-
-
 # --- A 64-bit hash per document: majority of the word hash bits. Stands for a picture's hash. ---
 def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, md5 of the text, and 16 hex digits in which near copies of a text differ in few bits."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = docs.select(
-        "doc_id", F.md5("text").alias("file_hash"), F.explode(F.array_distinct(words_of(F.lower("text")))).alias("word")
-    ).withColumn("digest", F.md5("word"))
+    docs = wide_table(spark, sf_dir, "documents", "doc_id", "text").select(
+        "doc_id", F.md5("text").alias("file_hash"), F.array_distinct(words_of(F.lower("text"))).alias("words")
+    )
+    words = docs.select("doc_id", "file_hash", F.explode("words").alias("word")).withColumn("digest", F.md5("word"))
     halves = words.select(
         "doc_id", "file_hash",
         *[F.conv(F.substring("digest", 1 + 8 * i, 8), 16, 10).cast("bigint").alias(f"half{i}") for i in (0, 1)],
     )
+    # One sum counts a bit of both halves, 32 binary places apart.
+    count_of = lambda half, b: F.shiftright(half, 31 - b).bitwiseAND(F.lit(1))
     ones = [
-        F.sum(F.shiftright(f"half{b // 32}", 31 - b % 32).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)
+        F.sum(count_of("half0", b) + F.shiftleft(count_of("half1", b), 32)).alias(f"b{b}") for b in range(32)
     ]
     sums = halves.groupBy("doc_id", "file_hash").agg(F.count(F.lit(1)).alias("n"), *ones)
-    bit = lambda b: F.when(F.col(f"b{b}") * 2 > F.col("n"), 1 << (3 - b % 4)).otherwise(0)
+    counted = lambda b: F.col(f"b{b}").bitwiseAND(F.lit(0xFFFFFFFF)) if b < 32 else F.shiftright(f"b{b - 32}", 32)
+    bit = lambda b: F.when(counted(b) * 2 > F.col("n"), 1 << (3 - b % 4)).otherwise(0)
     digit = lambda d: F.lower(F.hex((bit(4 * d) + bit(4 * d + 1) + bit(4 * d + 2) + bit(4 * d + 3)).cast("bigint")))
     return sums.select("doc_id", "file_hash", F.concat(*[digit(d) for d in range(16)]).alias("phash"))
 

@@ -100,7 +100,7 @@ MEDIA = ("id", "source_id", "make", "model", "year", "image_count", "image_path"
 
 
 def _media_ads(spark, sf_dir):
-    return with_images(ads_view(spark, sf_dir, *MEDIA))
+    return with_images(ads_view(spark, sf_dir, *MEDIA, wide=True))
 
 
 @query(f"""with a as ({ads_sql(*MEDIA)}) select image_path as path, max(id) as ad_id, arg_max(make, id) as make, arg_max(year, id) as year

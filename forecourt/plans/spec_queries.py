@@ -8,6 +8,7 @@ from forecourt.functions import specs
 from forecourt.operators import catalog, pages
 from forecourt.plans.bindings import spec_pages, spec_texts, spec_texts_sql, table
 from forecourt.plans.registry import query
+from forecourt.session import cut_lineage
 from forecourt.sources.tables import empty_catalog
 
 SPECS = spec_texts_sql()
@@ -196,7 +197,7 @@ def catalog_images(spark, sf_dir):
 
 @query()
 def page_bundle(spark, sf_dir):
-    out = catalog.page_bundle(pages.elements(spec_pages(spark, sf_dir)))
+    out = catalog.page_bundle(cut_lineage(pages.elements(spec_pages(spark, sf_dir))))
     return out.select(
         "page_id", F.size("specs").alias("n_specs"), F.array_join("highlight_features", "|").alias("features"),
         F.size("gallery_images").alias("n_images"), F.array_join("infotainment", "|").alias("infotainment"),

@@ -43,7 +43,8 @@ def prepare_training_data(ads: DataFrame, max_sorted: int = MAX_SORTED) -> DataF
 def price_pipeline(trees: int = 100, depth: int = 10, seed: int = 42) -> Pipeline:
     """Alphabetic label codes, standard scaling and a random forest.
 
-    Codes are plain numbers to the forest, as scaled features carry no category information.
+    Codes are plain numbers to the forest, as scaled features carry no category information. Every split
+    looks at all features.
     """
     indexed = [f"i_{c}" for c in fixed.CATEGORY_FEATURES]
     return Pipeline(stages=[
@@ -55,7 +56,7 @@ def price_pipeline(trees: int = 100, depth: int = 10, seed: int = 42) -> Pipelin
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
         RandomForestRegressor(
             featuresCol="features", labelCol="price", predictionCol="predicted_price",
-            numTrees=trees, maxDepth=depth, seed=seed,
+            numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all", maxBins=128,
         ),
     ])
 

@@ -45,6 +45,10 @@ def test_catalog_load_is_idempotent(spark):
     row = catalog.catalog_chain(once).first()
     assert (row.brand, row.model, row.gen_name, row.version_name) == ("BMW", "M5", "F90", "Performance Specs")
     assert row.url == "https://x.example/a#aeng_m5-cs" and row.top_speed_kph == 305
+    stored = {name: df.checkpoint() for name, df in once.items()}
+    twice = catalog.load_catalog(source, stored)
+    for name in ("brands", "models", "generations", "versions", "specs", "version_images"):
+        assert twice[name].collect() == stored[name].collect(), name
 
 
 def parsed(spark, function, value):

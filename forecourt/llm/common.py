@@ -11,8 +11,6 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from forecourt.session import cut_lineage, ensure_checkpoint_dir, ship_package, shared_folder  # noqa: F401
 
@@ -27,8 +25,13 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     return df.mapInArrow(function, schema)
 
 
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
+          "array<long>": pa.list_(pa.int64())}
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    """The Arrow schema of a list of columns of plain types; needs no session, so tasks can ask for it."""
+    return pa.schema([pa.field(name, _TYPES[kind]) for name, kind in (column.split() for column in ddl.split(", "))])
 
 
 def power_of_two(n: float, least: int = 1) -> int:

@@ -5,7 +5,7 @@ import re
 
 import pytest
 from forecourt.llm.components import components
-from forecourt.llm.ngram_join import near_duplicates
+from forecourt.llm.ngram_join import near_duplicates, one_of_each
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -111,3 +111,13 @@ def test_components(spark, seed):
     expected = {i: find(i) for e in edges for i in e if e[0] != e[1]}
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == expected
+
+
+def test_one_of_each(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(5, base, "a"), (3, base + " more", "b"), (3, base + " more", "b"), (9, "alone in the world of texts", "c"), (None, base, "d"),
+            (7, None, "e"), (8, None, "f"), (8, None, "f"), (11, "x y", "g"), (12, "X  y", "h"), (None, "n o", "i"), (None, "n o", "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `mark` string")
+    got = sorted([tuple(r) for r in one_of_each(df).collect()], key=str)
+    expected = [(3, base + " more", "b"), (9, "alone in the world of texts", "c"), (7, None, "e"), (8, None, "f"), (8, None, "f"), (11, "x y", "g"), (None, "n o", "i")]
+    assert got == sorted(expected, key=str)

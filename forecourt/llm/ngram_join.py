@@ -19,6 +19,7 @@ doc_ids are rows of their own. A null doc_id takes part but never names a compon
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ CHUNK = "key long, batch long, kind int, tokens binary, docs binary, sizes binar
 SHARED = "batch long, kind int, tokens binary, docs binary, sizes binary"
 SETS = "uid long, doc_id long, row long, n long, tokens array<long>, same1 long, same2 long"
 BROADCAST_ROWS = 4_000_000  # of 16 bytes
+CLASS = 1.1  # ratio of sizes within a class
 ANNOUNCED = 0xFFFF
 ROWS_PER_BUCKET = 1_000  # documents for each bucket of shingle hashes: some hundred thousand shingles
 
@@ -263,16 +265,26 @@ def links(sets: DataFrame, percent: int = 75) -> DataFrame:
 
     # What hangs together already needs no more comparisons.
     up = components(star_links).withColumnRenamed("node", "uid")
-    placed = held.join(up, "uid", "left").select("token", "uid", "n", "shared", "at", F.coalesce("root", "uid").alias("root"))
+    placed = held.join(up, "uid", "left").select("token", "uid", "n", (F.col("shared") - F.col("at")).alias("rest"), F.coalesce("root", "uid").alias("root"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     placed = cut_lineage(placed.join(mixed, "token"))
-    # Of two sets the smaller one meets the other in a shorter prefix; where both stand in theirs depends on both sizes.
-    small = placed.where(F.col("shared") - F.col("at") >= _needed(F.col("n"), F.col("n"), percent))
-    small = small.select("token", "root", F.col("uid").alias("a"), F.col("n").alias("a_n"), (F.col("shared") - F.col("at")).alias("a_left"))
-    large = placed.select("token", F.col("root").alias("other"), F.col("uid").alias("b"), F.col("n").alias("b_n"), (F.col("shared") - F.col("at")).alias("b_left"))
-    meeting = small.select("token", "root").distinct().join(large.select("token", "other").distinct(), "token").where("root <> other")
-    pairs = meeting.join(small, ["token", "root"]).join(large, ["token", "other"])
-    pairs = pairs.where(F.struct("a_n", "a") < F.struct("b_n", "b")).where(F.least("a_left", "b_left") >= _needed(F.col("a_n"), F.col("b_n"), percent))
+    # Sets meet by classes of size, each in the prefix that the sizes of the two classes ask for.
+    steps = math.floor(math.log(100 / percent) / math.log(CLASS)) + 1
+    own = F.floor(F.log("n") / math.log(CLASS) + 1e-9).cast("int")
+    placed = placed.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    least_size = lambda c: F.floor(F.pow(F.lit(CLASS), c) + 1e-6)
+    small = placed.withColumn("c", own).withColumn("d", F.col("c") + F.col("step")).withColumn("other_n", F.greatest(F.col("n"), least_size(F.col("d"))))
+    large = placed.withColumn("d", own).withColumn("c", F.col("d") - F.col("step")).withColumn("other_n", least_size(F.col("c")))
+    enough = F.col("rest") >= _needed(F.col("n"), F.col("other_n"), percent)
+    key = ["token", "c", "d"]
+    small = small.where(enough).select(*key, "root", F.col("uid").alias("a"), F.col("n").alias("a_n"), F.col("rest").alias("a_rest"))
+    large = large.where(enough).select(*key, F.col("root").alias("other"), F.col("uid").alias("b"), F.col("n").alias("b_n"), F.col("rest").alias("b_rest"))
+    fit = F.least("a_rest", "b_rest") >= _needed(F.col("a_n"), F.col("b_n"), percent)
+    left = small.groupBy(*key, "root", "a_n").agg(F.max("a_rest").alias("a_rest"))
+    right = large.groupBy(*key, "other", "b_n").agg(F.max("b_rest").alias("b_rest"))
+    meeting = left.join(right, key).where("root <> other and a_n <= b_n").where(fit).drop("a_rest", "b_rest")
+    pairs = meeting.join(small, [*key, "root", "a_n"]).join(large, [*key, "other", "b_n"])
+    pairs = pairs.where(F.struct("a_n", "a") < F.struct("b_n", "b")).where(fit)
     pairs = pairs.select("a", "b").distinct()
     rest = _verified(pairs, sets, percent)
     return star_links.unionByName(rest)

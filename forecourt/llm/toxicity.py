@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.llm.common import Shared, arrow_schema, map_batches
-from forecourt.llm.words import U64, chain, mix, row_of, slices, words
+from forecourt.llm.words import U64, chain, mix, row_of, slices, unique, words
 
 FEATURE_BITS = 30
 COUNT_BITS = 26
@@ -56,7 +56,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def distinct(feature: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each feature of a row once, by row."""
-    key = np.unique((row.astype(U64) << U64(FEATURE_BITS)) | feature.astype(U64))
+    key = unique((row.astype(U64) << U64(FEATURE_BITS)) | feature.astype(U64))
     return (key & U64((1 << FEATURE_BITS) - 1)).astype(np.uint32), (key >> U64(FEATURE_BITS)).astype(np.int64)
 
 
@@ -74,7 +74,7 @@ def train(texts: pa.Array, labels: np.ndarray, settings: Settings) -> tuple[np.n
         often = counts[feature >> shift] >= settings.min_docs
         edges = np.searchsorted(row[often], np.arange(part.num_rows + 1))
         kept += [feature[often][a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    known = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint32)
+    known = unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint32)
     places = [np.searchsorted(known, k) for k in kept]
     share = labels.mean()
     intercept = float(np.log(share / (1 - share)))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.llm.common import Shared, cut_lineage, map_batches
-from forecourt.llm.words import U64, mix
+from forecourt.llm.words import U64, mix, unique
 
 MAX_BYTES = 256 << 20
 SEGMENT = 16  # bits of a place within a filter segment
@@ -86,7 +86,7 @@ def _filter(keys: DataFrame, count: int, rate: float, salt: int) -> Level:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = np.unique(_places(batch.column("key").to_numpy().view(U64), size, probes, salt))
+            places = unique(_places(batch.column("key").to_numpy().view(U64), size, probes, salt).ravel())
             yield pa.RecordBatch.from_arrays([pa.array(places >> SEGMENT), pa.array((places & ((1 << SEGMENT) - 1)).astype(np.int32))], names=["segment", "place"])
 
     bits = np.zeros((size >> 3) + 1, np.uint8)

@@ -114,6 +114,12 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hash_spans(data, starts, ends), first
 
 
+def unique(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def row_of(first: np.ndarray) -> np.ndarray:
     """Row number of every item, from the index of each row's first item."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

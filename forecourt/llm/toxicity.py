@@ -35,9 +35,9 @@ class Settings:
     max_rows: int = 16_000
     min_docs: int = 3
     epochs: int = 4
-    alpha: float = 0.1
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 3.0
+    l1: float = 5.0
     l2: float = 1.0
 
 
@@ -72,8 +72,9 @@ def train(texts: pa.Array, labels: np.ndarray, settings: Settings) -> tuple[np.n
     for part in slices(iter([batch]), "text"):
         feature, row = distinct(*features(part.column("text")))
         often = counts[feature >> shift] >= settings.min_docs
-        edges = np.searchsorted(row[often], np.arange(part.num_rows + 1))
-        kept += [feature[often][a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        feature, row = feature[often], row[often]
+        edges = np.searchsorted(row, np.arange(part.num_rows + 1))
+        kept += [feature[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
     known = unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint32)
     places = [np.searchsorted(known, k) for k in kept]
     share = labels.mean()

@@ -39,7 +39,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _power_tables(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers.get(seed, (np.zeros(0, U64), np.zeros(0, U64)))
-    if len(up) < n:
+    if len(up) <= n:
         size = max(n, BLOCK_BYTES)
         base, inverse = _BASES[seed], pow(_BASES[seed], -1, 1 << 64)
         up, down = (np.cumprod(np.concatenate([[U64(1)], np.full(size, b & _MASK, U64)]), dtype=U64) for b in (base, inverse))

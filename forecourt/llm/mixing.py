@@ -85,7 +85,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEIL
     few = sources.count() <= BROADCAST_SOURCES
     found = thresholds(sized, cut_lineage(targets(sources, weights, ceiling)), few)
     rows = _sources_joined(sized, found, few)
-    rows = rows.withColumn("copies", F.col("times") + (F.col("ticket") < F.col("threshold")).cast("long"))
+    # Only documents without words can lie under a threshold that has no budget left.
+    rows = rows.withColumn("copies", F.least(F.col("times") + (F.col("ticket") < F.col("threshold")).cast("long"), F.lit(ceiling)))
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

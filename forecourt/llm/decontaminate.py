@@ -54,8 +54,9 @@ def _blocks(name: str) -> Column:
 
 
 def items_of(benchmark: DataFrame, width: int) -> DataFrame:
-    """(item_id, words, m, span, fingerprint): the items that have words."""
+    """(item, item_id, words, m, span, fingerprint): the items that have words; ``item`` is their own key."""
     rows = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
+    rows = rows.withColumn("item", F.xxhash64("item_id", "words"))
     return _fingerprint(rows).withColumn("m", F.size("words")).withColumn("span", F.least(F.col("m"), F.lit(width)))
 
 
@@ -83,11 +84,11 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: floa
     items = cut_lineage(items_of(benchmark, width))
     spans = [r[0] for r in items.select("span").distinct().orderBy("span").collect()]  # at most ``width`` numbers
     cases = F.coalesce(*[F.when(F.col("span") == w, _shingles(F.col("words"), w)) for w in spans or [width]])
-    held = items.select("item_id", "m", "span", "fingerprint", cases.alias("shingles"))
-    terms = held.select("item_id", F.explode("shingles").alias("shingle"))
-    total = items.select("item_id").distinct().count()
-    weights = terms.groupBy("shingle").agg(F.countDistinct("item_id").alias("holders")).select("shingle", F.log1p(F.lit(total) / F.col("holders")).alias("weight"))
-    weighed = terms.join(weights, "shingle").groupBy("item_id").agg(F.collect_list(F.struct("shingle", "weight")).alias("terms"), F.sum("weight").alias("whole"))
+    held = items.select("item", "m", "span", "fingerprint", cases.alias("shingles"))
+    terms = held.select("item", F.explode("shingles").alias("shingle"))
+    total = items.count()
+    weights = terms.groupBy("shingle").agg(F.count("*").alias("holders")).select("shingle", F.log1p(F.lit(total) / F.col("holders")).alias("weight"))
+    weighed = terms.join(weights, "shingle").groupBy("item").agg(F.collect_list(F.struct("shingle", "weight")).alias("terms"), F.sum("weight").alias("whole"))
 
     seeds = [_seeds(items, w) for w in spans]
     if not seeds:
@@ -104,12 +105,12 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: floa
     shingled = F.coalesce(*[F.when(F.col("span") == w, _shingles(F.col("words"), w)) for w in spans or [width]])
     windows = cut_lineage(windows.select("row", "doc_id", "m", "start", F.size("words").alias("n_words"), "fingerprint", shingled.alias("shingles")))
 
-    listed = items.select("item_id", "m", F.col("fingerprint").alias("of_item"), F.explode(_blocks("fingerprint")).alias("b"), F.lit(MASKS).cast("array<bigint>").alias("masks"))
-    listed = listed.select("item_id", "m", "of_item", "b.block", F.explode("masks").alias("mask"), "b.value").withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+    listed = items.select("item", "item_id", "m", F.col("fingerprint").alias("of_item"), F.explode(_blocks("fingerprint")).alias("b"), F.lit(MASKS).cast("array<bigint>").alias("masks"))
+    listed = listed.select("item", "item_id", "m", "of_item", "b.block", F.explode("masks").alias("mask"), "b.value").withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
     asked = windows.select("row", "doc_id", "m", "start", "n_words", "fingerprint", "shingles", F.explode(_blocks("fingerprint")).alias("b")).select("*", "b.block", "b.value").drop("b")
     distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item")))
     near = asked.join(listed, ["m", "block", "value"]).withColumn("distance", distance).where(F.col("distance") <= RADIUS)
-    near = near.select("row", "doc_id", "item_id", "start", "n_words", "distance", "shingles").join(weighed, "item_id")
+    near = near.select("row", "doc_id", "item", "item_id", "start", "n_words", "distance", "shingles").join(weighed, "item")
     both = F.aggregate(F.filter("terms", lambda t: F.array_contains("shingles", t["shingle"])), F.lit(0.0), lambda s, t: s + t["weight"])
     near = near.withColumn("similarity", both / F.col("whole")).where(F.col("similarity") >= similarity - 1e-9)
     best = F.max(F.struct("similarity", (-F.col("distance")).alias("nearness"), (-F.col("start")).alias("before"), "n_words")).alias("best")

@@ -50,7 +50,7 @@ def test_no_rows_and_no_rules(spark):
 @pytest.mark.parametrize("listed", [0, 1, 50, 3000])
 def test_cascade_is_exact(spark, listed):
     rng = random.Random(listed)
-    keys = rng.sample(range(-(2**63), 2**63), 20_000)
+    keys = [rng.randrange(-(2**63), 2**63) for _ in range(20_000)]
     universe = spark.createDataFrame([(k,) for k in keys], "key long")
     chosen = spark.createDataFrame([(k,) for k in keys[:listed]] + [(7,)] * bool(listed), "key long")
     levels = build_cascade(chosen, universe)

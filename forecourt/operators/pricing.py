@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from forecourt.functions import fixed
 from forecourt.operators.listings import priced
-from forecourt.operators.ranks import MAX_SORTED, exact_median
+from forecourt.operators.ranks import MAX_SORTED, exact_medians
 from forecourt.operators.split import train_val_split
 
 MIN_TRAINING_ADS = 10
@@ -22,7 +22,7 @@ FEATURES = fixed.NUMERIC_FEATURES + fixed.CATEGORY_FEATURES
 
 def feature_medians(ads: DataFrame, max_sorted: int = MAX_SORTED) -> dict[str, float]:
     """Median of each numeric feature over the given ads, the constant default where all are null."""
-    found = {c: exact_median(ads, c, max_sorted) for c in fixed.NUMERIC_FEATURES}
+    found = exact_medians(ads, list(fixed.NUMERIC_FEATURES), max_sorted)
     return {c: fixed.NUMERIC_DEFAULTS[c] if m is None else m for c, m in found.items()}
 
 
@@ -92,16 +92,20 @@ def train_price_model(
     test_ratio: float = 0.2, max_sorted: int = MAX_SORTED,
 ) -> TrainedPriceModel:
     """Fit on 80 % of the priced ads and evaluate on the rest; raises ValueError below 10 ads."""
-    rows = priced(ads)
+    rows = priced(ads).persist()
     available = enough_ads(rows)
     if available is not None:
         raise ValueError(f"insufficient data for training: {available} of {MIN_TRAINING_ADS} ads")
-    prepared = train_val_split(prepare_training_data(rows, max_sorted), key, 1 - test_ratio, seed, max_sorted)
+    prepared = train_val_split(prepare_training_data(rows, max_sorted), key, 1 - test_ratio, seed, max_sorted).persist()
     train, test = prepared.filter("split = 'train'"), prepared.filter("split = 'val'")
     model = price_pipeline(trees, depth, seed).fit(train)
     scored = model.transform(test).select("price", "predicted_price")
     evaluate = lambda name: RegressionEvaluator(labelCol="price", predictionCol="predicted_price", metricName=name).evaluate(scored)
-    return TrainedPriceModel(model, train.count(), test.count(), evaluate("mae"), evaluate("r2"))
+    sizes = {r["split"]: r["count"] for r in prepared.groupBy("split").count().collect()}
+    trained = TrainedPriceModel(model, sizes.get("train", 0), sizes.get("val", 0), evaluate("mae"), evaluate("r2"))
+    prepared.unpersist()
+    rows.unpersist()
+    return trained
 
 
 def completeness(columns: list[str] = FEATURES) -> Column:

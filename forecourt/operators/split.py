@@ -28,7 +28,7 @@ def train_val_split(
     size = floor(n * ratio)
     if size <= 0 or size >= n:
         return rows.withColumn("split", F.lit("train" if size > 0 else "val"))
-    border = select_ranks(hashed, "__number", [size - 1], max_sorted)[0]
+    border = select_ranks(hashed, {"__number": [size - 1]}, max_sorted)["__number"][0]
     counts = hashed.agg(
         F.count_if(F.col("__number") < border).alias("below"),
         F.count_if(F.col("__number") == border).alias("ties"),

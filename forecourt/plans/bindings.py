@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from forecourt.operators.anomalies import words_of
 
+# No arithmetic of the four columns stays unique and in range at every scale; their text does.
+LINE_ID = "concat(cast(l_orderkey as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(l_linenumber as string))"
+
 # Listing column -> (expression valid in Spark SQL and in plain SQL, tables besides lineitem).
 AD_COLUMNS = {
-    "id": ("((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber", ""),
+    "id": (LINE_ID, ""),
     "source_site": ("concat('site', cast(l_suppkey % 10 as string))", ""),
-    "source_id": ("cast(((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber as string)", ""),
+    "source_id": (LINE_ID, ""),
     "source_url": ("concat('https://site', cast(l_suppkey % 10 as string), '.example.com/ad/', cast(l_orderkey as string), '-', cast(l_linenumber as string))", ""),
     "title": ("p_name", "part"),
     "price": ("l_extendedprice", ""),
@@ -52,13 +55,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def wide_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table whose rows cost much work each, on all cores.
 
-    A small file of one row group is read by one task; spreading it costs little. A large table comes
-    in many more parts than there are cores, and is left as it is.
+    A file of one row group is read by one task. A table with fewer splits than cores is dealt out; that moves
+    less than one split a core. Any other table is left as it is read.
     """
     rows = table(spark, sf_dir, name)
     rows = rows.select(*columns) if columns else rows
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 4 * cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _needed(columns: tuple[str, ...]) -> list[str]:
@@ -150,7 +153,7 @@ concat('Ad ', cast(l_linenumber as string), ' ', p_name, ' Built ', cast(year as
   case l_suppkey % 3 when 0 then 'EUR' when 1 then 'лв' else '$' end)"""
 
 LISTING_TEXTS = f"""
-select ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber as id, {LISTING_TEXT} as text
+select {LINE_ID} as id, {LISTING_TEXT} as text
 from (select *, cast(year(o_orderdate) as int) as year, cast(l_quantity * 900 as int) as mileage
       from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey join {{part}} on l_partkey = p_partkey)"""
 
@@ -256,16 +259,18 @@ hashes as (select x.doc_id, md5(text) as file_hash, phash, cast(('0x' || phash)
   join documents using (doc_id))"""
 
 
-# --- Small pictures from embedding vectors: each value a byte, three to a pixel. ---
+# --- Small pictures from embedding vectors: as square as may be, each value a byte of three pixels. ---
 def embedding_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as one-row BGR pictures: value -1..1 becomes 0..255."""
+    """Vectors as BGR pictures: value -1..1 becomes 0..255, one to a pixel's blue, those 21 and 42 on its green and red."""
     byte = lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.round((x.cast("double") + 1) * 127.5).cast("int")))), 2, "0")
-    rows = table(spark, sf_dir, "embeddings")
-    width = F.floor(F.size("embedding") / 3).cast("int")
+    rows = table(spark, sf_dir, "embeddings").withColumn("bytes", F.transform("embedding", byte)).withColumn("n", F.size("embedding"))
+    width = F.ceil(F.sqrt("n")).cast("int")
+    height = F.ceil(F.col("n") / width).cast("int")
+    at = lambda i: F.get("bytes", (i % F.col("n")).cast("int"))
+    pixels = F.transform(F.sequence(F.lit(0), width * height - 1), lambda i: F.concat(at(i), at(i + 21), at(i + 42)))
     return rows.select(
         F.concat(F.lit("/pictures/"), F.col("vec_id").cast("string"), F.lit(".png")).alias("path"),
-        F.lit(1).alias("height"), width.alias("width"), F.lit(3).alias("nChannels"),
-        F.unhex(F.array_join(F.transform(F.slice("embedding", F.lit(1), width * 3), byte), "")).alias("data"),
+        height.alias("height"), width.alias("width"), F.lit(3).alias("nChannels"), F.unhex(F.array_join(pixels, "")).alias("data"),
     )
 
 

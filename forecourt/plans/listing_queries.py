@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from forecourt.operators import listings
 from forecourt.plans.bindings import (
+    LINE_ID,
     ads_sql, ads_view, enriched_sql, enriched_view, full_ads, spec_texts, spec_texts_sql, table, with_images,
 )
 from forecourt.plans.registry import query
@@ -119,10 +120,10 @@ def only_flagged_listings(spark, sf_dir):
     return listings.flag_anomalies(ads, anomalies, only=True).select("id", "title")
 
 
-OWNED = """select id, case when l_returnflag <> 'A' then l_orderkey end as ad_id,
+OWNED = f"""select id, case when l_returnflag <> 'A' then l_orderkey end as ad_id,
   case when l_returnflag = 'A' then l_partkey end as variant_id,
   case when l_linestatus = 'O' then l_suppkey end as unique_car_id
-from (select ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber as id, * from {lineitem})"""
+from (select {LINE_ID} as id, * from {{lineitem}})"""
 
 
 @query(f"""select id, ad_id, variant_id, unique_car_id from ({OWNED.format(lineitem="lineitem")}) x

@@ -17,8 +17,15 @@ def _ads(spark, sf_dir):
     return ads_view(spark, sf_dir, *COLUMNS)
 
 
+_models: dict[tuple[str, str], pricing.TrainedPriceModel] = {}
+
+
 def _model(spark, sf_dir):
-    return pricing.train_price_model(_ads(spark, sf_dir), trees=20, depth=6)
+    """The model of a folder's listings, fitted once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _models:
+        _models[key] = pricing.train_price_model(_ads(spark, sf_dir))
+    return _models[key]
 
 
 @query()
@@ -37,9 +44,9 @@ def good_deals(spark, sf_dir):
     return pricing.predict_prices(_model(spark, sf_dir).model, _ads(spark, sf_dir)).filter("is_good_deal")
 
 
-@query(f"""select id, price - price * 1.2 * ((id % 7) / 5.0) as price_difference, price < price * 1.2 * ((id % 7) / 5.0) * 0.9 as is_good_deal from ({ads_sql("id", "price")}) a""")
+@query(f"""select id, price - price * 1.2 * ((mileage % 7) / 5.0) as price_difference, price < price * 1.2 * ((mileage % 7) / 5.0) * 0.9 as is_good_deal from ({ads_sql("id", "price", "mileage")}) a""")
 def deal_flags(spark, sf_dir):
-    ads = ads_view(spark, sf_dir, "id", "price").withColumn("predicted_price", F.col("price") * 1.2 * ((F.col("id") % 7) / 5.0))
+    ads = ads_view(spark, sf_dir, "id", "price", "mileage").withColumn("predicted_price", F.col("price") * 1.2 * ((F.col("mileage") % 7) / 5.0))
     return pricing.with_deal(ads).select("id", "price_difference", "is_good_deal")
 
 

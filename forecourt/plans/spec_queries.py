@@ -142,16 +142,16 @@ def spec_names(spark, sf_dir):
     )
 
 
-@query("""select p_partkey as page_id, 0 as block_idx, replace(lower(p_name), ' ', '_') || '_performance_specs:' as category, 'power' as key,
+@query("""select page_id, cast(block_idx + part as int) as block_idx, case when part = 1 then 'block_' || (block_idx + part) else category end as category, key, raw_text from (select p_partkey as page_id, cast(0 as int) as block_idx, replace(lower(p_name), ' ', '_') || '_performance_specs:' as category, 'power' as key,
     cast(60 + p_size as string) || ' KW @ 6000 RPM' || chr(10) || cast(80 + p_size as string) || ' HP @ 6000 RPM' as raw_text from part
 union all select p_partkey, 0, replace(lower(p_name), ' ', '_') || '_performance_specs:', 'top_speed', cast(180 + p_size as string) || ' km/h' from part
 union all select p_partkey, 0, replace(lower(p_name), ' ', '_') || '_performance_specs:', 'displacement', cast(1000 + p_size * 50 as string) || ' cm3' from part
 union all select p_partkey, 2, lower(p_type) || '_sport', 'power', cast(160 + p_size as string) || ' HP @ 6500 RPM' from part
-union all select p_partkey, 2, lower(p_type) || '_sport', 'unladen_weight', cast(2000 + p_size as string) || ' lbs (' || cast(1000 + p_size as string) || ' kg)' from part""")
+union all select p_partkey, 2, lower(p_type) || '_sport', 'unladen_weight', cast(2000 + p_size as string) || ' lbs (' || cast(1000 + p_size as string) || ' kg)' from part) r, range(2) b(part)""")
 def page_spec_rows(spark, sf_dir):
     rows = pages.elements(spec_pages(spark, sf_dir))
-    found = catalog.spec_rows(rows).select("page_id", "block_idx", "category", "key", "raw_text")
-    return found.filter("block_idx % 2 = 0")  # every box holds one table, and both are blocks
+    # Every box holds one table, and both are blocks.
+    return catalog.spec_rows(rows).select("page_id", "block_idx", "category", "key", "raw_text")
 
 
 @query("""select p_partkey as page_id, p_name || ' seats' as feature from part union all select p_partkey, 'Cruise control' from part

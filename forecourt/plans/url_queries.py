@@ -84,7 +84,7 @@ select id, folder, case when copy = 0 then name else replace(name, '.jpg', '') |
 def numbered_files(spark, sf_dir):
     ads = ads_view(spark, sf_dir, "id", "source_site", "title")
     files = ads.select("id", F.col("source_site").alias("folder"), F.concat("title", F.lit(".jpg")).alias("name"))
-    return media.numbered_files(files, order="id", parts=16).select("id", "folder", "file_name")
+    return media.numbered_files(files, order="id").select("id", "folder", "file_name")
 
 
 @query(r"""with h as (select page_id, regexp_replace(html, '<!--.*?-->|<script.*?</script>', '', 'gs') as html, """ + HOST + r""" as host from pages),

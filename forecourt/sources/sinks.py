@@ -30,7 +30,7 @@ def write_labelling_tasks(records: DataFrame, path: str) -> None:
 
 
 def write_cluster_index(members: DataFrame, path: str) -> None:
-    """Leader hash -> member paths, as JSON lines; large clusters take several lines."""
+    """Leader hash -> member path, as JSON lines, one for each member."""
     members.write.json(path)
 
 

@@ -77,8 +77,15 @@ def test_numbered_files(spark):
     files = spark.createDataFrame([(i, "f", "a.jpg" if i % 3 else ".x") for i in range(40)], "ord long, folder string, name string")
     plain = rows(media.numbered_files(files), "ord", "file_name")
     assert plain[:3] == [(0, ".x"), (1, "a.jpg"), (2, "a-1.jpg")] and plain[3] == (3, ".x-1")
-    assert rows(media.numbered_files(files, parts=7), "ord", "file_name") == plain
     assert len({name for _, name in plain}) == 40
+    hot = spark.range(3000).selectExpr("concat('k', lpad(id, 6, '0')) as ord", "'f' as folder", "if(id % 10 = 0, 'b.png', 'a.jpg') as name")
+    found = {r.ord: r.file_name for r in media.numbered_files(hot).collect()}
+    count = {"a.jpg": 0, "b.png": 0}
+    for i in range(3000):
+        name = "a.jpg" if i % 10 else "b.png"
+        stem, end = name.split(".")
+        assert found[f"k{i:06d}"] == (name if not count[name] else f"{stem}-{count[name]}.{end}")
+        count[name] += 1
 
 
 def test_colour_enrichment(spark):

@@ -69,7 +69,7 @@ def test_future_year_counts_as_high_mileage(spark):
 def test_ranks_equal_a_sort(spark, values):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(7)
     wanted = [0, 1, len(values) // 3, len(values) // 2, len(values) - 1]
-    assert ranks.select_ranks(df, "v", wanted, max_sorted=20, accuracy=50) == [sorted(values)[k] for k in wanted]
+    assert ranks.select_ranks(df, {"v": wanted}, max_sorted=20, accuracy=50)["v"] == [sorted(values)[k] for k in wanted]
 
 
 @pytest.mark.parametrize("n, ratio", [(1000, 0.9), (37, 0.8), (1, 0.9), (5, 1.0)])

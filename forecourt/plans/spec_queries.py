@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from forecourt.functions import specs
+from forecourt.functions import fixed, specs
 from forecourt.operators import catalog, pages
 from forecourt.plans.bindings import spec_pages, spec_texts, spec_texts_sql, table
 from forecourt.plans.registry import query
@@ -189,13 +189,16 @@ def catalog_load(spark, sf_dir):
     )
 
 
-@query()
+@query(r"""select upper(replace(p_brand, '#', '')) as brand, p_type as model, 'G' || p_size as gen_name, version_name,
+  '""" + fixed.CATALOG_BASE_URL + r"""/p/' || p_partkey || '.jpg' as image_url, 'BMW ' || p_name as caption
+from part, lateral (select unnest([p_name || ' Performance Specs:', p_type || ' Sport'])) v(version_name)""")
 def catalog_images(spark, sf_dir):
     loaded = catalog.load_catalog(spec_pages(spark, sf_dir), empty_catalog(spark))
     return catalog.versions_with_images(loaded).select("brand", "model", "gen_name", "version_name", "image_url", "caption")
 
 
-@query()
+@query("""select p_partkey as page_id, cast(10 as int) as n_specs, 'Big screen|' || p_name || ' seats|Cruise control' as features,
+  cast(1 as int) as n_images, 'apple carplay' as infotainment from part""")
 def page_bundle(spark, sf_dir):
     out = catalog.page_bundle(cut_lineage(pages.elements(spec_pages(spark, sf_dir))))
     return out.select(

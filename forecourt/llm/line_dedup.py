@@ -16,13 +16,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forecourt.llm.common import arrow_schema, cut_lineage, map_batches, ship_package
+from forecourt.llm.common import arrow_schema, cut_lineage, map_batches
 from forecourt.llm.words import line_table, slices
 
 LINES = "h1 long, h2 long, late int, doc long, row long, place int, n_lines int"
@@ -138,27 +137,28 @@ def keep_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
 
 
 KEPT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+KEPT_ARROW = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
 
 
-@F.pandas_udf(KEPT)
-def _apply(text: pd.Series, keep: pd.Series) -> pd.DataFrame:
-    out = []
-    for t, k in zip(text, keep, strict=True):
-        if k is None:
-            out.append((t, 1 + (t or "").count("\n"), 0))
-            continue
-        lines = t.split("\n")
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(k), np.uint8), count=len(lines))
-        kept = [x for x, b in zip(lines, bits, strict=True) if b]
-        out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
-    return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
+def _kept(text: str | None, keep: bytes | None) -> dict:
+    if keep is None:
+        return {"text": text, "n_lines": 1 + (text or "").count("\n"), "n_dropped": 0}
+    lines = text.split("\n")
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=len(lines))
+    kept = [x for x, b in zip(lines, bits, strict=True) if b]
+    return {"text": "\n".join(kept), "n_lines": len(lines), "n_dropped": len(lines) - len(kept)}
+
+
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        kept = [_kept(t, k) for t, k in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(kept, KEPT_ARROW)], names=["doc", "kept"])
 
 
 def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     """``doc``: each row as it was; ``kept``: its text without the lines that earlier documents have, and line counts."""
-    ship_package(docs.sparkSession)
     maps = keep_bitmaps(docs, least).select("late", "doc", "row", "keep")
-    whole = docs.select(F.struct("*").alias("whole"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row"),
+    whole = docs.select(F.struct("*").alias("whole"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row"),
                         F.col("doc_id").isNull().cast("int").alias("late"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"))
-    joined = whole.join(maps, ["row", "late", "doc"], "left")
-    return joined.select(F.col("whole").alias("doc"), _apply(F.col("whole.text"), "keep").alias("kept"))
+    joined = whole.join(maps, ["row", "late", "doc"], "left").select(F.col("whole").alias("doc"), F.col("whole.text").cast("string").alias("text"), "keep")
+    return map_batches(joined, _apply, T.StructType([T.StructField("doc", docs.schema), T.StructField("kept", KEPT)]))

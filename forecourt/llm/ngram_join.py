@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from forecourt.llm.common import arrow_schema, cut_lineage, map_batches, power_of_two
 from forecourt.llm.components import components
-from forecourt.llm.words import U64, chain, mix, row_of, slices, words
+from forecourt.llm.words import CHUNK_BYTES, U64, chain, mix, row_of, slices, words
 
 CHUNK = "key long, batch long, kind int, tokens binary, docs binary, sizes binary"
 SHARED = "batch long, kind int, tokens binary, docs binary, sizes binary"
@@ -85,7 +85,7 @@ def _from_texts(width: int):
     """Parts of a task's rows with their shingles: (uid, doc_id, row), sizes, tokens and their rows."""
 
     def run(part: int, batches: Iterator[pa.RecordBatch]):
-        for i, batch in enumerate(slices(batches, "text")):
+        for i, batch in enumerate(slices(batches, "text", CHUNK_BYTES)):
             tokens, rows = shingles(batch.column("text"), width)
             uid = np.arange(batch.num_rows) + (((part << 20) + i) << 16)
             yield pa.array(uid), batch.column("doc_id"), batch.column("row"), np.bincount(rows, minlength=batch.num_rows), tokens, rows

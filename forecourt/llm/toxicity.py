@@ -24,7 +24,7 @@ from forecourt.llm.common import Shared, arrow_schema, map_batches
 from forecourt.llm.words import U64, chain, mix, row_of, slices, unique, words
 
 FEATURE_BITS = 30
-COUNT_BITS = 26
+COUNT_BITS = 24
 WEIGHTS = "features binary, weights binary, intercept double"
 
 
@@ -76,7 +76,7 @@ def train(texts: pa.Array, labels: np.ndarray, settings: Settings) -> tuple[np.n
         edges = np.searchsorted(row, np.arange(part.num_rows + 1))
         kept += [feature[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
     known = unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint32)
-    places = [np.searchsorted(known, k) for k in kept]
+    places = [np.searchsorted(known, k).astype(np.int32) for k in kept]
     share = labels.mean()
     intercept = float(np.log(share / (1 - share)))
     z, n = np.zeros(len(known)), np.zeros(len(known))

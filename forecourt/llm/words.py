@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
+CHUNK_BYTES = 8 << 20  # where a slice is the unit that counts are gathered by
 SLICE_ROWS = 60_000
 BLOCK_BYTES = 2 << 20
 

@@ -30,5 +30,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def load_all() -> None:
     from forecourt.plans import (  # noqa: F401
         anomaly_queries, dedup_queries, image_queries, ingest_queries, listing_queries, market_queries,
-        page_queries, price_queries, spec_queries, text_queries, url_queries,
+        page_queries, price_queries, spec_queries, store_queries, text_queries, url_queries,
     )

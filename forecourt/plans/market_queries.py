@@ -63,8 +63,11 @@ def high_mileage_impact(spark, sf_dir):
 b as ({BUCKETS.replace(ads_sql("price", "mileage"), "select price, mileage from (" + ads_sql("price", "mileage") + ") z")}),
 h as (select price, mileage / ({REF_YEAR} - year + 1.0) > 20000 as high from a)
 select count(*) as total_listings, round(avg(price), 4) as average_price, round(median(price), 4) as median_price,
-  count(distinct year) as years, count(distinct dealer_type) as dealer_types,
-  (select round(sum(avg_price), 3) from b) as bucket_sum,
+  min(price) as min_price, max(price) as max_price, round(stddev_samp(price), 4) as price_std,
+  (select string_agg(year || ':' || cents || ':' || n, '|' order by year) from (select year, cast(round(avg(price) * 100) as bigint) as cents, count(*) as n from a where year is not null group by year)) as by_year,
+  (select string_agg(mileage_bucket || ':' || coalesce(cast(cast(round(avg_price * 100) as bigint) as varchar), ''), '|' order by bucket) from b) as by_mileage,
+  (select string_agg(dealer_type || ':' || cents || ':' || n || ':' || deviation, '|' order by dealer_type) from (select dealer_type, cast(round(avg(price) * 100) as bigint) as cents,
+    count(*) as n, cast(round(coalesce(stddev_samp(price), 0) * 100) as bigint) as deviation from a where dealer_type is not null group by dealer_type)) as dealers,
   (select round((avg(price) - avg(price) filter (where high)) / avg(price), 6) from h) as high_mileage_impact,
   concat_ws(' | ',
     case when stddev_samp(price) > avg(price) * 0.3 then 'High price volatility - good time for negotiations' end,
@@ -73,10 +76,13 @@ select count(*) as total_listings, round(avg(price), 4) as average_price, round(
       then 'Low mileage cars offer good value' end) as recommendations from a""")
 def market_report(spark, sf_dir):
     out = market.market_report(ads_view(spark, sf_dir, "price", "year", "mileage", "dealer_type"), REF_YEAR)
-    total = F.aggregate("by_mileage", F.lit(0.0), lambda acc, b: acc + F.coalesce(b["avg_price"], F.lit(0.0)))
+    cents = lambda x: F.round(x * 100).cast("bigint").cast("string")
+    lines = lambda column, *parts: F.array_join(F.transform(column, lambda e: F.concat_ws(":", *[p(e) for p in parts])), "|")
     return out.select(
         "total_listings", F.round("average_price", 4).alias("average_price"), F.round("median_price", 4).alias("median_price"),
-        F.size("by_year").cast("bigint").alias("years"), F.size("dealers").cast("bigint").alias("dealer_types"),
-        F.round(total, 3).alias("bucket_sum"), F.round("high_mileage_impact", 6).alias("high_mileage_impact"),
-        F.concat_ws(" | ", "recommendations").alias("recommendations"),
+        "min_price", "max_price", F.round("price_std", 4).alias("price_std"),
+        lines("by_year", lambda e: e["year"].cast("string"), lambda e: cents(e["avg_price"]), lambda e: e["listing_count"].cast("string")).alias("by_year"),
+        lines("by_mileage", lambda e: e["mileage_bucket"], lambda e: F.coalesce(cents(e["avg_price"]), F.lit(""))).alias("by_mileage"),
+        lines("dealers", lambda e: e["dealer_type"], lambda e: cents(e["avg_price"]), lambda e: e["listing_count"].cast("string"), lambda e: cents(e["price_volatility"])).alias("dealers"),
+        F.round("high_mileage_impact", 6).alias("high_mileage_impact"), F.concat_ws(" | ", "recommendations").alias("recommendations"),
     )

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -64,8 +65,24 @@ class Element:
     children: list[str]
 
 
-def _names(attrs: dict[str, str | None]) -> set[str]:
-    return set(NAME_PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower()))
+NO_NAMES: frozenset[str] = frozenset()
+HEADER = frozenset(["header"])
+TELLING = frozenset("class id role hidden aria-hidden style itemprop".split())
+NOTHING_TOLD = ("", NO_NAMES, False, False, False)
+
+
+@lru_cache(maxsize=2_000)
+def _told(attrs: tuple[tuple[str, str | None], ...]) -> tuple[str, frozenset[str], bool, bool, bool]:
+    """Of an element's attributes: its classes, the chrome they name, whether it is no content, the main part, an article's body."""
+    given = dict(attrs)
+    names = NAME_PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{given.get('class') or ''} {given.get('id') or ''}").lower())
+    role = (given.get("role") or "").lower()
+    hidden = (
+        role in CHROME_ROLES or "hidden" in given or (given.get("aria-hidden") or "").lower() == "true"
+        or "display:none" in (given.get("style") or "").replace(" ", "").lower()
+    )
+    classes = "".join(f".{x}" for x in sorted((given.get("class") or "").split()))
+    return classes, (CHROME_NAMES | COMMENT_NAMES).intersection(names), hidden, role == "main", given.get("itemprop") == "articleBody"
 
 
 class Page(HTMLParser):
@@ -126,27 +143,25 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         parent = self.stack[-1]
-        given = dict(attrs)
-        names = _names(given) if "class" in given or "id" in given else set()
+        telling = tuple([a for a in attrs if a[0] in TELLING])
+        style, names, hidden, main, body = _told(telling) if telling else NOTHING_TOLD
         if tag in ("html", "body", "main"):
             chrome = False
         elif tag == "article":
-            chrome = bool(names & COMMENT_NAMES)
+            chrome = not names.isdisjoint(COMMENT_NAMES)
         else:
-            chrome = (
-                tag in CHROME or tag == "header" and not parent.article or bool(names & (CHROME_NAMES | COMMENT_NAMES) - ({"header"} if parent.article else set()))
-                or (given.get("role") or "").lower() in CHROME_ROLES or "hidden" in given or (given.get("aria-hidden") or "").lower() == "true"
-                or "display:none" in (given.get("style") or "").replace(" ", "").lower()
-            )
-        style = tag + "".join(f".{x}" for x in sorted((given.get("class") or "").split()))
-        element = Element(
-            tag, f"{parent.path}>{style}" if tag in BLOCKS else parent.path, parent.chrome or chrome, parent.unseen or tag in UNSEEN,
-            parent.article or tag == "article" or given.get("itemprop") == "articleBody",
-            parent.main or tag == "main" or (given.get("role") or "").lower() == "main", [],
-        )
-        if tag in BLOCKS:
+            chrome = hidden or tag in CHROME or tag == "header" and not parent.article or bool(names and names - (HEADER if parent.article else NO_NAMES))
+        style = tag + style
+        block = tag in BLOCKS
+        self.stack.append(Element(
+            tag, f"{parent.path}>{style}" if block else parent.path, parent.chrome or chrome, parent.unseen or tag in UNSEEN,
+            parent.article or tag == "article" or body, parent.main or tag == "main" or main, [],
+        ))
+        if block:
             parent.children.append(style)
-        self.stack.append(element)
+
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are not asked for
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from forecourt.functions import fixed
 from forecourt.operators import anomalies
 from forecourt.operators.once import once
-from forecourt.plans.bindings import DOCUMENT_ADS, ads_sql, ads_view, document_ads, full_ads, table, wide_table, words_sql
+from forecourt.plans.bindings import DOCUMENT_ADS, ads_sql, ads_view, document_ads, full_ads, table, wide_table, with_images, words_sql
 from forecourt.plans.registry import query
 
 REF_YEAR = 2001
@@ -76,7 +76,7 @@ IMAGES_SQL = """case when image_count = 0 {and_no_files} then 'No images provide
 
 @query(_rule_sql(("id", "image_count", "is_processed"), IMAGES_SQL.format(and_no_files="and not is_processed")))
 def rule_images(spark, sf_dir):
-    return _rule(full_ads(spark, sf_dir), anomalies.image_rule())
+    return _rule(with_images(ads_view(spark, sf_dir, "id", "image_count", "image_path", "is_processed", wide=True)), anomalies.image_rule())
 
 
 WORD_COUNTS = f"""words as (select id, unnest({words_sql("text")}) as w from a),

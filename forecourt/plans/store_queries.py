@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from forecourt.operators import catalog, dedup, listings
+from forecourt.functions import fixed
+from forecourt.operators import catalog, dedup, images, listings, media
 from forecourt.operators.split import train_val_split
-from forecourt.plans.bindings import ads_sql, ads_view, spec_pages, table
+from forecourt.plans.bindings import ads_sql, ads_view, embedding_images, spec_pages, table
 from forecourt.plans.dedup_queries import SPLIT
+from forecourt.plans.image_queries import PIXELS
 from forecourt.plans.registry import query
 from forecourt.plans.spec_queries import LOADED
 from forecourt.session import shared_folder
@@ -127,3 +129,56 @@ def catalog_saved(spark, sf_dir):
     root = _folder(spark, "catalog")
     tables.write_catalog(catalog.load_catalog(spec_pages(spark, sf_dir), tables.empty_catalog(spark)), root)
     return catalog.catalog_chain(tables.read_catalog(spark, root)).select("brand", "model", "gen_name", "version_name")
+
+
+@query(f"""with {PIXELS} select vec_id || '.png: ' || color || ' (' || printf('%.3f', confidence) || ')' as line from colors""")
+def color_report_file(spark, sf_dir):
+    path = _folder(spark, "report")
+    sinks.write_report(media.color_lines(images.dominant_color(images.measure_images(embedding_images(spark, sf_dir)))), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("""select l_orderkey as owner, l_linenumber as ord, l_partkey as picture from (
+  select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as n from lineitem) where n <= 3""")
+def first_images(spark, sf_dir):
+    place = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("owner"), place.alias("place"))
+    return media.first_images(rows, "owner", "place", 3).select("owner", F.col("place.l_linenumber").alias("ord"), F.col("place.l_partkey").alias("picture"))
+
+
+@query(f"""select distinct p_partkey % 7 as model_id, p_type || ' ' || (1990 + p_size) || '-present' as gen_name, '{fixed.CATALOG_BASE_URL}/' || lower(p_type) || '/' as url,
+  cast(1990 + p_size as int) as start_year, cast(null as int) as end_year from part""")
+def generations_overview(spark, sf_dir):
+    """Generations listed on overview pages, loaded into an empty catalog."""
+    owners = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), (F.col("p_partkey") % 7).alias("model_id"))
+    empty = tables.empty_catalog(spark)["generations"]
+    found = catalog.generations_from_overview(spec_pages(spark, sf_dir), owners, empty)
+    return found.select("model_id", "gen_name", "url", "start_year", "end_year")
+
+
+@query("""select n_nationkey as generation_id, n_name as gen_name, case when s_name is not null then 'supplier' end as doc_type, s_name as document_url from nation left join supplier on s_nationkey = n_nationkey""")
+def generation_documents(spark, sf_dir):
+    """The documents half of the catalog: nations as generations, their suppliers as documents."""
+    generations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("gen_name"))
+    documents = table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").cast("bigint").alias("generation_id"), F.lit("supplier").alias("doc_type"), F.col("s_name").alias("url")
+    )
+    found = catalog.generations_with_documents({"generations": generations, "documents": documents})
+    return found.select("generation_id", "gen_name", "doc_type", "document_url")
+
+
+@query("""select doc_id as id, source as source_site, cast(doc_id as varchar) as source_id, lang as title, cast(n_chars as double) as price, cast(null as int) as year from documents""")
+def ads_saved(spark, sf_dir):
+    """Listings written without all columns and read as the engine's own table."""
+    path = _folder(spark, "ads")
+    table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("source_site"), F.col("doc_id").cast("string").alias("source_id"),
+        F.col("lang").alias("title"), F.col("n_chars").cast("double").alias("price"),
+    ).write.parquet(path)
+    return tables.read_ads(spark, path).select("id", "source_site", "source_id", "title", "price", "year")
+
+
+@query("""select page_id, url, length(html) as n_chars from pages""")
+def pages_read(spark, sf_dir):
+    rows = tables.read_pages(spark, f"{sf_dir}/pages.parquet")
+    return rows.select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"))

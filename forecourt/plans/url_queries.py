@@ -96,3 +96,21 @@ def page_links(spark, sf_dir):
     return pages.links(pages.elements(source), source).groupBy("page_id", "href", "url").agg(F.count(F.lit(1)).alias("n"))
 
 
+
+
+@query(f"""with s as ({SHAPES.format(part="part")}), u as (select p_partkey, 'https://x.example.com/' || ltrim(replace(src, 'https://h.example.com', ''), '/') as url from s),
+n as (select *, 's' || p_partkey as source_id, regexp_extract(url, '[^/]*$') as name from u)
+select p_partkey, source_id || '/' || case when contains(name, '.') then name else source_id || '_' || substr(md5(url), 1, 8) || '.jpg' end as file_name from n""")
+def download_names(spark, sf_dir):
+    shapes = spark.sql(SHAPES, part=table(spark, sf_dir, "part"))
+    address = F.concat(F.lit("https://x.example.com/"), F.ltrim(F.replace("src", F.lit("https://h.example.com"), F.lit("")), F.lit("/")))
+    return shapes.select("p_partkey", urls.download_filename(address, F.concat(F.lit("s"), F.col("p_partkey").cast("string"))).alias("file_name"))
+
+
+@query("""select p_partkey, case when p_size % 3 = 0 then p_name || '-2.jpg' when p_size % 3 = 1 then p_name || '.jpg' else 'none.jpg' end as best from part""")
+def best_address(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumn("word", F.replace("p_name", F.lit(" "), F.lit("_")))
+    several = F.when(F.col("p_size") % 3 == 0, F.concat("word", F.lit("-1.jpg 100w, "), "word", F.lit("-2.jpg 900w")))
+    plain = F.when(F.col("p_size") % 3 == 1, F.concat("word", F.lit(".jpg"))).otherwise("")
+    best = urls.best_image_url(several, plain, F.lit("none.jpg"))
+    return part.select("p_partkey", F.replace(best, F.lit("_"), F.lit(" ")).alias("best"))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import pickle
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -40,21 +38,10 @@ def power_of_two(n: float, least: int = 1) -> int:
 
 
 class Shared:
-    """A value every task needs once: sent by Spark's broadcast, unpickled once per worker process."""
+    """A value every task needs once: sent by Spark's broadcast, loaded once by each worker process."""
 
     def __init__(self, spark: SparkSession, value: Any) -> None:
-        self.key = uuid.uuid4().hex
-        self.sent = spark.sparkContext.broadcast(pickle.dumps(value, protocol=5))
+        self.sent = spark.sparkContext.broadcast(value)
 
     def value(self) -> Any:
-        if _open.get("key") != self.key:
-            _open.update(key=self.key, value=pickle.loads(self.sent.value))
-        return _open["value"]
-
-
-_open: dict[str, Any] = {}
-
-
-def same(left: str, right: str):
-    """Null-safe equality of two columns."""
-    return F.col(left).eqNullSafe(F.col(right))
+        return self.sent.value

@@ -25,6 +25,7 @@ from forecourt.llm.common import Shared, cut_lineage, map_batches
 from forecourt.llm.words import U64, mix, unique
 
 MAX_BYTES = 256 << 20
+KEYS_PER_TASK = 1_000_000
 SEGMENT = 16  # bits of a place within a filter segment
 UPPER, FOLDED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -137,6 +138,7 @@ def judge(pages: DataFrame, rules: Rules) -> DataFrame:
     rows = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
     keyed = rows.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
     universe = cut_lineage(keyed.select(F.explode(F.transform("keys", lambda k: F.xxhash64(k))).alias("key")).distinct())
+    universe = universe.coalesce(-(-universe.count() // KEYS_PER_TASK) or 1)
 
     def cascade(keys: list[str]) -> list[Level]:
         return build_cascade(spark.createDataFrame([(k,) for k in keys], "k string").select(F.xxhash64("k").alias("key")).distinct(), universe)

@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from forecourt.llm.common import Shared, map_batches
 from forecourt.llm.words import slices, text_bytes
@@ -43,6 +44,7 @@ class Vocabulary:
     ranks: np.ndarray
     merged: np.ndarray  # symbol by rank
     specials: tuple[str, ...]
+    spec: str  # the vocabulary file
 
 
 def _byte_signs() -> list[str]:
@@ -54,7 +56,8 @@ def _byte_signs() -> list[str]:
 
 def load(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
+        source = file.read()
+    spec = json.loads(source)
     ids, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
     signs = _byte_signs()
     merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
@@ -62,7 +65,7 @@ def load(path: str) -> Vocabulary:
     order = np.argsort(keys, kind="stable")
     return Vocabulary(
         np.array([ids[s] for s in signs], np.int32), np.array([ids[s + end] for s in signs], np.int32), keys[order],
-        order.astype(np.int32), np.array([ids[a + b] for a, b in merges], np.int32), tuple(t["content"] for t in spec["added_tokens"]),
+        order.astype(np.int32), np.array([ids[a + b] for a, b in merges], np.int32), tuple(t["content"] for t in spec["added_tokens"]), source,
     )
 
 
@@ -149,6 +152,14 @@ def _normal(text: str) -> str:
     return text.lower()
 
 
+def _unassigned() -> str:
+    """Character class of the code points that this Python knows nothing of; other tables may know them."""
+    unknown = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    starts = [c for c, before in zip(unknown, [-1, *unknown], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(unknown, [*unknown[1:], -1], strict=True) if after != c + 1]
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
 class Counter:
     """Counts texts' tokens; remembers pre-tokens, but no more than ``KEPT`` between batches."""
 
@@ -156,8 +167,18 @@ class Counter:
         self.vocabulary = vocabulary
         self.find = regex.compile(PATTERN).findall
         self.specials = regex.compile("|".join(map(regex.escape, sorted(vocabulary.specials, key=len, reverse=True))) or r"(?!)")
+        self.unknown = regex.compile(_unassigned()).search
+        self.library: Tokenizer | None = None
         self.kept: dict[str, int] = {}
 
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens; of texts with code points unknown to this Python, as the library's own tables cut them."""
+        if text.isascii() or not self.unknown(text):
+            return self.find(_normal(text))
+        self.library = self.library or Tokenizer.from_str(self.vocabulary.spec)
+        text = self.library.normalizer.normalize_str(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
     def counts(self, texts: list[str]) -> list[int]:
         if len(self.kept) > KEPT:
             self.kept.clear()
@@ -167,9 +188,9 @@ class Counter:
             if "<|" in text or not all(s.startswith("<|") for s in self.vocabulary.specials):
                 parts = self.specials.split(text)
                 special = len(parts) - 1
-                pieces.append([p for part in parts for p in self.find(_normal(part))])
+                pieces.append([p for part in parts for p in self.split(part)])
             else:
-                pieces.append(self.find(_normal(text)))
+                pieces.append(self.split(text))
             extra.append(special)
         new = list(set().union(*pieces).difference(self.kept))
         if new:

@@ -17,6 +17,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -152,12 +153,18 @@ def _normal(text: str) -> str:
     return text.lower()
 
 
-def _unassigned() -> str:
+@cache
+def _library(spec: str) -> Tokenizer:
+    return Tokenizer.from_str(spec)
+
+
+@cache
+def _unassigned() -> regex.Pattern:
     """Character class of the code points that this Python knows nothing of; other tables may know them."""
     unknown = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn"]
     starts = [c for c, before in zip(unknown, [-1, *unknown], strict=False) if c != before + 1]
     ends = [c for c, after in zip(unknown, [*unknown[1:], -1], strict=True) if after != c + 1]
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]"
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
 
 
 class Counter:
@@ -167,17 +174,16 @@ class Counter:
         self.vocabulary = vocabulary
         self.find = regex.compile(PATTERN).findall
         self.specials = regex.compile("|".join(map(regex.escape, sorted(vocabulary.specials, key=len, reverse=True))) or r"(?!)")
-        self.unknown = regex.compile(_unassigned()).search
-        self.library: Tokenizer | None = None
+        self.unknown = _unassigned().search
         self.kept: dict[str, int] = {}
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens; of texts with code points unknown to this Python, as the library's own tables cut them."""
         if text.isascii() or not self.unknown(text):
             return self.find(_normal(text))
-        self.library = self.library or Tokenizer.from_str(self.vocabulary.spec)
-        text = self.library.normalizer.normalize_str(text)
-        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        library = _library(self.vocabulary.spec)
+        text = library.normalizer.normalize_str(text)
+        return [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
 
     def counts(self, texts: list[str]) -> list[int]:
         if len(self.kept) > KEPT:

@@ -1,12 +1,16 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, found by multi-index Hamming blocks.
 
-Everything here is DataFrame operations. A benchmark item of m words is looked for in windows of m words. Only windows
-that share a shingle with an item in its place can be similar to it at all, so windows are cut where a document's
-shingle meets an item's; the rest would verify at 0. Each window gets a 64-bit SimHash of its words and word pairs.
-Fingerprints are split into four blocks of 16 bits, and the items' blocks are listed with every change of up to
-three bits: two fingerprints at most 15 bits apart agree with one of these in some block, so none is missed. What is
-found is verified exactly: the weight of the item's shingles that the window holds, over the weight of all of them,
-where shingles of many items weigh less.
+Everything here is DataFrame operations. A benchmark item of m words is looked for in windows of m words. What is found
+is verified exactly: the weight of the item's shingles that the window holds, over the weight of all of them, where
+shingles of many items weigh less. Windows come in two ways:
+
+1. *By fingerprint.* Windows are cut where a document's shingle meets an item's in its place, and get a 64-bit SimHash of
+   their words and word pairs. Fingerprints are split into four blocks of 16 bits, and the items' blocks are listed with
+   every change of up to three bits: two fingerprints at most 15 bits apart agree with one of these in some block.
+2. *By weight.* A passage copied in part or in another order can lie further apart. A document whose shingles of an item
+   weigh enough together is looked through whole: the best window starts with a shingle of the item, or is the last one.
+
+The second way misses no window that verifies, so the result is that of all windows of all documents.
 
 Words are lower-case and split at ``[\\x20\\x09-\\x0D]``; items of fewer than ``width`` words are one shingle. Null or
 empty items match nothing, null texts hold nothing. Equal items are found each; equal rows give the same hits.
@@ -79,15 +83,51 @@ def windows_of(docs: DataFrame, seeds: DataFrame, width: int, few: bool) -> Data
     return hits.groupBy("row", "doc_id", "m", "span", "start").agg(F.first("words").alias("words"))
 
 
+def _weighty(docs: DataFrame, held: DataFrame, spans: list[int], weights: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """(row, doc_id, item_id, start, n_words, distance, similarity): the best window of every row that holds an item's weight."""
+    shingled = held.select("item", "span", F.explode("shingles").alias("shingle")).join(weights, "shingle")
+    split = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row"), words_of(F.col("text")).alias("words"))
+    hits = None
+    for w in spans:
+        placed = split.where(F.size("words") >= w).select("row", "words", F.size("words").alias("n"), F.explode(F.sequence(F.lit(0), F.size("words") - w)).alias("at"))
+        placed = placed.select("row", "n", "at", _shingle(F.col("words"), F.col("at"), w).alias("shingle"))
+        right = shingled.where(F.col("span") == w).drop("span")
+        met = placed.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, "shingle")
+        hits = met if hits is None else hits.unionByName(met)
+    # First the weight of all shingles that a row and an item share; few reach what a window must hold.
+    once = hits.groupBy("row", "item", "shingle").agg(F.first("weight").alias("weight"), F.collect_set("at").alias("places"), F.max("n").alias("n"))
+    enough = once.groupBy("row", "item").agg(F.sum("weight").alias("most"), F.max("n").alias("n"), F.flatten(F.collect_list(
+        F.transform("places", lambda at: F.struct(at.alias("at"), F.col("shingle"), F.col("weight"))))).alias("hits"))
+    enough = enough.join(whole.select("item", "whole"), "item").where(F.col("most") >= (similarity - 1e-9) * F.col("whole"))
+    enough = enough.join(held.select("item", "item_id", "m", "span", F.col("fingerprint").alias("of_item")), "item").withColumn("hits", F.array_sort("hits"))
+    room = F.col("m") - F.col("span") + 1  # places of a window
+
+    def window(hit: Column, i: Column) -> Column:
+        inside = F.filter(F.slice(F.col("hits"), i + 1, room), lambda x: x["at"] < hit["at"] + room)
+        own = F.array_distinct(F.transform(inside, lambda x: F.struct(x["shingle"], x["weight"])))
+        return F.struct(F.aggregate(own, F.lit(0.0), lambda s, x: s + x["weight"]).alias("held"), (-hit["at"]).alias("before"))
+
+    best = enough.withColumn("best", F.array_max(F.transform("hits", window))).withColumn("similarity", F.col("best.held") / F.col("whole"))
+    best = best.where(F.col("similarity") >= similarity - 1e-9)
+    start = F.greatest(F.lit(0), F.least(-F.col("best.before"), F.col("n") - F.col("m")))
+    best = cut_lineage(best.select("row", "item", "item_id", "m", "of_item", "similarity", start.alias("start")))
+    right = F.broadcast(best) if best.count() <= BROADCAST_ROWS else best
+    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = texts.join(right, "row").withColumn("words", F.slice(words_of(F.col("text")), F.col("start") + 1, F.col("m"))).drop("text")
+    found = _fingerprint(found)
+    return found.select("row", "doc_id", "item_id", "start", F.size("words").alias("n_words"), F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item"))).alias("distance"), "similarity")
+
+
 def find(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.75) -> DataFrame:
     """(row, doc_id, item_id, start, n_words, distance, similarity): each row's best window for each item it holds."""
     items = cut_lineage(items_of(benchmark, width))
     spans = [r[0] for r in items.select("span").distinct().orderBy("span").collect()]  # at most ``width`` numbers
     cases = F.coalesce(*[F.when(F.col("span") == w, _shingles(F.col("words"), w)) for w in spans or [width]])
-    held = items.select("item", "m", "span", "fingerprint", cases.alias("shingles"))
+    held = items.select("item", "item_id", "m", "span", "fingerprint", cases.alias("shingles"))
     terms = held.select("item", F.explode("shingles").alias("shingle"))
     total = items.count()
     weights = terms.groupBy("shingle").agg(F.count("*").alias("holders")).select("shingle", F.log1p(F.lit(total) / F.col("holders")).alias("weight"))
+    weights = cut_lineage(weights)
     weighed = terms.join(weights, "shingle").groupBy("item").agg(F.collect_list(F.struct("shingle", "weight")).alias("terms"), F.sum("weight").alias("whole"))
 
     seeds = [_seeds(items, w) for w in spans]
@@ -113,6 +153,9 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: floa
     near = near.select("row", "doc_id", "item", "item_id", "start", "n_words", "distance", "shingles").join(weighed, "item")
     both = F.aggregate(F.filter("terms", lambda t: F.array_contains("shingles", t["shingle"])), F.lit(0.0), lambda s, t: s + t["weight"])
     near = near.withColumn("similarity", both / F.col("whole")).where(F.col("similarity") >= similarity - 1e-9)
+    near = near.select("row", "doc_id", "item_id", "start", "n_words", "distance", "similarity")
+    if spans:
+        near = near.unionByName(_weighty(docs, held, spans, weights, weighed, similarity))
     best = F.max(F.struct("similarity", (-F.col("distance")).alias("nearness"), (-F.col("start")).alias("before"), "n_words")).alias("best")
     found = near.groupBy("row", "doc_id", "item_id").agg(best)
     return found.select("row", "doc_id", "item_id", (-F.col("best.before")).alias("start"), F.col("best.n_words").alias("n_words"), (-F.col("best.nearness")).alias("distance"), F.col("best.similarity").alias("similarity"))

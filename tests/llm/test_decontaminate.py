@@ -72,6 +72,28 @@ def test_planted_passages(spark):
         assert kept == {i for i, _ in docs} - {r["doc_id"] for r in got.collect()}
 
 
+def test_passages_copied_in_part_or_in_another_order(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{rng.randrange(2000)}" for _ in range(rng.choice([30, 40, 60])))) for i in range(20)]
+    docs = []
+    for i in range(80):
+        passage = plain(items[i % 20][1])
+        m = len(passage)
+        if i % 4 == 3:
+            at = rng.randrange(8, m - 8)
+            passage = passage[at:] + passage[:at]
+        else:
+            size = math.ceil(m * rng.uniform(0.76, 0.85))
+            at = rng.choice([0, m - size, rng.randrange(m - size + 1)])
+            passage = passage[at : at + size]
+        fill = [f"x{rng.randrange(5000)}" for _ in range(2 * m)]
+        docs.append((i, " ".join(fill[:m] + passage + fill[m : rng.choice([m, 2 * m])])))
+    want = brute_force(docs, items)
+    got = contaminated(*frames(spark, docs, items))
+    assert len(want) > 40 and rows_of(got, "doc_id", "item_id") == want
+    assert any(r["distance"] > 15 for r in got.collect())
+
+
 def test_odd_rows(spark):
     items = [(1, None), (2, ""), (3, "two words"), (4, "one two three four five six"), (4, "one two three four five six"), (None, "null item has six words here"), (5, "\x0b x \x0c")]
     docs = [(1, None), (2, ""), (3, "say TWO  words now"), (4, "zero one two three four five six"), (None, "so null item has six words here ok"), (5, "one two three"), (6, "x"), (6, "x"),

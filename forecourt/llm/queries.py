@@ -36,7 +36,7 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @query()
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(table(spark, sf_dir, "documents"))
+    return lm_scoring.score(table(spark, sf_dir, "documents"), lm_scoring.Settings(min_count=1))
 
 
 @query()

@@ -3,10 +3,11 @@
 The pages of a host are merged into one tree of style nodes: a node is the chain of elements, with their classes, that
 leads to it. Each node gets an importance from two entropies over the pages that have it. Its content counts little where
 the same texts stand on page after page, and its presentation counts little where its parent always shows the same
-children. Branches of low importance are removed from each page; so are branches that their element, role, class or id
-names as menu, header, footer, side bar, notice, advert, form or comments. What remains of the article (of the main
-part, or else of the body) is the text. If the tree alone would leave a page nothing, the page keeps what only the
-names leave.
+children. Equal pages of a host count as one. Of branches of low importance each page loses the texts that another page
+has there too; it also loses branches that their element, role, class or id names as menu, header, footer, side bar,
+notice, advert, form or comments. What remains of the article (of the main part, or else of the body) is the text. If
+the tree alone would leave a page less than a quarter of its words, it is a copy of others with little of its own, and
+keeps what only the names leave.
 
 White space in a block becomes one blank and blocks are joined by one blank. A null html gives an empty text; pages
 without a host are one site; equal pages get equal texts.
@@ -25,13 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forecourt.llm.common import cut_lineage, map_batches
+from forecourt.llm.common import Shared, cut_lineage, map_batches
 from forecourt.llm.url_filter import host_and_path
 
 CONTENT_SHARE = 0.8
 LOW = 0.3
 LEAST_PAGES = 8
-BROADCAST_ROWS = 100_000  # of about 40 bytes: 4 MB
+LEAST_LEFT = 0.25
+BROADCAST_ROWS = 100_000  # of about 60 bytes: 6 MB
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -205,37 +207,55 @@ def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def main_text(page: Page, low: frozenset[int] = frozenset()) -> str:
+def _place(host: str | None, path: str, text: str) -> int:
+    """The key of a text in a style node of a host."""
+    return digest(f"{host}\0{path}\0{text}")
+
+
+def main_text(page: Page, low: frozenset[int] = frozenset(), host: str | None = None) -> str:
     blocks = [b for b in page.blocks if not b[1]]
     for part in (2, 3):
         if any(b[part] for b in blocks):
             blocks = [b for b in blocks if b[part]]
             break
-    return " ".join([b[4] for b in blocks if not low or digest(b[0]) not in low] or [b[4] for b in blocks])
+    whole = [b[4] for b in blocks]
+    left = [b[4] for b in blocks if _place(host, b[0], b[4]) not in low] if low else whole
+    if len(left) < len(whole) and sum(len(x.split()) for x in left) < LEAST_LEFT * sum(len(x.split()) for x in whole):
+        left = whole
+    return " ".join(left)
 
 
-STATS = "host string, node long, kind int, value long, parent long"
+STATS = "host string, node long, kind int, value long, parent long, copies long"
 
 
 def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page its style nodes (kind 0), their texts (1) and the children that elements show (2), each once."""
+    """Of each page its style nodes (kind 0), their texts (1, with their keys) and the children that elements show (2), each once."""
     for batch in batches:
         for start in range(0, batch.num_rows, 200):
             part = batch.slice(start, 200)
             rows = []
-            for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+            for host, html, copies in zip(*[part.column(c).to_pylist() for c in ("host", "html", "copies")], strict=True):
                 page = parse(html or "")
                 found = {(digest(b[0]), 0, 0, digest(b[0].rpartition(">")[0])) for b in page.blocks}
-                found |= {(digest(b[0]), 1, digest(b[4]), 0) for b in page.blocks}
+                found |= {(digest(b[0]), 1, digest(b[4]), _place(host, b[0], b[4])) for b in page.blocks}
                 found |= {(digest(path), 2, digest(" ".join(children)), 0) for path, children in page.styles}
-                rows += [(host, *x) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
-                                             names=["host", "node", "kind", "value", "parent"])
+                rows += [(host, *x, copies) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
+                                             names=["host", "node", "kind", "value", "parent", "copies"])
+
+
+def _counted(pages: DataFrame) -> DataFrame:
+    """(host, node, kind, value, n, parent): on how many pages; one that is there ``copies`` times counts as one."""
+    n = F.greatest(F.round(F.sum(1 / F.col("copies"))).cast("long"), F.lit(1))
+    return map_batches(pages, _style_rows, STATS).groupBy("host", "node", "kind", "value").agg(n.alias("n"), F.max("parent").alias("parent"))
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, parent, pages, content, presentation, importance) of every style node that holds text."""
-    counted = map_batches(pages, _style_rows, STATS).groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"), F.max("parent").alias("parent"))
+    """(host, node, parent, pages, content, presentation, importance) of every style node that holds text, every page counted."""
+    return _importance(_counted(pages.withColumn("copies", F.lit(1).cast("long"))))
+
+
+def _importance(counted: DataFrame) -> DataFrame:
     summed = counted.groupBy("host", "node").agg(
         F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"),
         F.max(F.when(F.col("kind") == 0, F.col("parent"))).alias("parent"),
@@ -253,21 +273,46 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return nodes.withColumn("importance", importance)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of each page's texts."""
     for batch in batches:
-        for start in range(0, batch.num_rows, 200):
-            part = batch.slice(start, 200)
-            texts = [main_text(parse(html or ""), frozenset(low or ())) for html, low in zip(part.column("html").to_pylist(), part.column("low").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        for mark, host, html in zip(*[batch.column(c).to_pylist() for c in ("mark", "host", "html")], strict=True):
+            found = list({_place(host, b[0], b[4]) for b in parse(html or "").blocks})
+            yield pa.RecordBatch.from_arrays([pa.array([mark] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["mark", "place"])
+
+
+def _texts(shared: Shared | None):
+    """Texts without the places of low importance: the same for all pages, or each page's own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                low = [shared.value()] * part.num_rows if shared else [frozenset(x or ()) for x in part.column("low").to_pylist()]
+                texts = [main_text(parse(html or ""), own, host) for html, host, own in zip(part.column("html").to_pylist(), part.column("host").to_pylist(), low, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return run
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html)."""
     host, _ = host_and_path(F.col("url").cast("string"))
-    rows = pages.select("page_id", "url", "html", host.alias("host"))
-    low = style_tree(rows.select("host", "html")).where((F.col("importance") < LOW) & (F.col("pages") >= LEAST_PAGES))
-    low = cut_lineage(low.groupBy("host").agg(F.collect_set("node").alias("low"))).select(F.col("host").alias("site"), "low")
-    few = low.agg(F.sum(F.size("low"))).first()[0]
-    joined = rows.join(F.broadcast(low) if (few or 0) <= BROADCAST_ROWS else low, F.col("host") == F.col("site"), "left")
+    rows = pages.select("page_id", "url", "html", host.alias("host")).withColumn("mark", F.xxhash64("host", "html"))
+    again = cut_lineage(rows.groupBy("mark").agg(F.count("*").alias("copies")).where("copies > 1"))
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    told = rows.select("mark", "host", "html").join(again, "mark", "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+    counted = cut_lineage(_counted(told))
+    low = _importance(counted).where((F.col("importance") < LOW) & (F.col("pages") >= LEAST_PAGES)).select("host", "node")
+    repeated = counted.where("kind = 1 and n > 1").join(low, ["host", "node"], "left_semi")
+    places = cut_lineage(repeated.select(F.col("parent").alias("place")).distinct())
     kind = pages.schema["page_id"].dataType.simpleString()
-    return map_batches(joined.select("page_id", "url", "html", "low"), _texts, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    ddl = f"page_id {kind}, url string, text string"
+    if places.count() <= BROADCAST_ROWS:
+        shared = Shared(pages.sparkSession, frozenset(r[0] for r in places.collect()))
+        texts = map_batches(rows.select("page_id", "url", "html", "host"), _texts(shared), ddl)
+    else:
+        own = map_batches(rows.select("mark", "host", "html").join(low.select("host").distinct(), "host", "left_semi"), _places, "mark long, place long")
+        own = own.distinct().join(places, "place").groupBy("mark").agg(F.collect_list("place").alias("low"))
+        texts = map_batches(rows.join(own, "mark", "left").select("page_id", "url", "html", "host", "low"), _texts(None), ddl)
+    return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -61,6 +61,23 @@ def test_copies_of_one_page_keep_their_text(spark):
     assert {r[0] for r in rows_of(extract(pages_of(spark, rows)), "text")} == {"the only story"}
 
 
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_unique_pages_among_copies_keep_their_text(spark, monkeypatch, bound):
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", bound)
+    page = lambda words, more="": "<body><article>" + "".join(f"<p>{w}</p>" for w in words) + more + "</article></body>"
+    story = [f"part {k} of a story that many pages tell" for k in range(5)]
+    own = [[f"only page {i} says this as its line {k}" for k in range(5)] for i in range(10)]
+    rows = [(i, f"http://d.example/{i}", page(story, f"<div class=date>day {i}</div>")) for i in range(90)]
+    rows += [(100 + i, f"http://d.example/u{i}", page(own[i], "<ul><li>a list</li></ul>" if i % 2 else "")) for i in range(10)]
+    rows += [(200 + i, f"http://e.example/{i}", page(story)) for i in range(90)] + [(300 + i, f"http://e.example/u{i}", page(own[i // 2])) for i in range(20)]
+    got = {r[0]: r[1] for r in rows_of(extract(pages_of(spark, rows)), "page_id", "text")}
+    for i in range(90):
+        assert got[i] == " ".join([*story, f"day {i}"]) and got[200 + i] == " ".join(story)
+    for i in range(10):
+        assert got[100 + i].startswith(" ".join(own[i]))
+    assert all(got[300 + i] == " ".join(own[i // 2]) for i in range(20))
+
+
 def test_odd_rows(spark, monkeypatch):
     long = "<article>" + "<p>word &lt; word</p>" * 50_000 + "</article>"
     deep = "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000

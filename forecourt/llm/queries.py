@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecourt.llm import decontaminate, html_extract, line_dedup, lm_scoring, mixing, mtree, ngram_join, token_counts, toxicity, url_filter
-from forecourt.llm.common import table
+from forecourt.llm import (decontaminate, html_extract, line_dedup, lm_scoring, mixing, mtree, ngram_join, quality_rules, token_align, token_counts, toxicity,
+                           turn_repair, url_filter)
+from forecourt.llm.common import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +107,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turn_repair.damaged(table(spark, sf_dir, "conversations"))
+    decided = cut_lineage(turn_repair.decisions(rows))
+    digests = turn_repair.digests(rows, decided).withColumnRenamed("conv_id", "key")
+    return decided.join(digests, F.col("conv_id").eqNullSafe(F.col("key"))).drop("key")
+
+
+@query()
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.filtered(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")

@@ -3,8 +3,7 @@
 Every rule gives a document one of three votes: good, bad, or nothing. No label is used. Documents with the same votes are one
 pattern; with ``len(RULES)`` rules there are at most 3 to that power of them, so the table of patterns, counted over
 the whole corpus, is bounded whatever its size. Expectation-maximisation over the counted patterns estimates the share of
-good documents and, for each rule and class, how often it votes good, bad, or not at all. A document is kept when
-its posterior probability of being good is at least one half, instead of when it passes every rule. The start (rules mostly right) names the classes;
+good documents and each rule's accuracy on good and on bad ones; an abstention says nothing. A document is kept when its posterior probability of being good is at least one half, instead of when it passes every rule. The start (rules mostly right) names the classes;
 each estimate leans on ``PRIOR`` imagined documents, so a rule without votes says nothing. A document that no rule
 has a vote about is kept.
 
@@ -28,8 +27,8 @@ from pyspark.sql import functions as F
 from forecourt.llm.common import arrow_schema, map_batches
 from forecourt.llm.words import chain, hash_spans, row_of, slices, text_bytes, word_spans
 
-FACTS = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, n_letters long, "
-         "n_digits long, n_lines long, n_ended_lines long, n_distinct_words long")
+FACTS = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_letters long, "
+         "n_digits long, n_symbol_words long, n_lines long, n_ended_lines long, n_distinct_words long")
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 DIGITS = np.zeros(256, bool)
@@ -77,7 +76,7 @@ def facts_of(column: pa.Array) -> dict[str, np.ndarray]:
 
     starts, ends, first = word_spans(data, offsets)
     word_row = row_of(first)
-    points = np.append(0, np.cumsum(begins))
+    points, marks = (np.append(0, np.cumsum(x)) for x in (begins, SYMBOLS[data]))
     words = hash_spans(data, starts, ends)
     # Windows of three words within a row; every word of a window that occurs again counts, once.
     again = np.zeros(len(words), bool)
@@ -104,8 +103,8 @@ def facts_of(column: pa.Array) -> dict[str, np.ndarray]:
     return {
         "n_words": np.diff(first), "word_chars": np.bincount(word_row, points[ends] - points[starts], rows).astype(np.int64),
         "n_symbols": count(SYMBOLS[data]), "n_dup_lines": np.bincount(line_row[_later(lines, line_row)], minlength=rows),
-        "n_repeat_words": np.bincount(word_row[again], minlength=rows), "n_chars": count(begins), "n_letters": count(LETTERS[data]),
-        "n_digits": count(DIGITS[data]), "n_lines": np.bincount(line_row, minlength=rows),
+        "n_repeat_words": np.bincount(word_row[again], minlength=rows), "n_letters": count(LETTERS[data]),
+        "n_digits": count(DIGITS[data]), "n_symbol_words": np.bincount(word_row[marks[ends] > marks[starts]], minlength=rows), "n_lines": np.bincount(line_row, minlength=rows),
         "n_ended_lines": np.bincount(line_row[ENDS[data[ends[last_word - 1] - 1]]], minlength=rows),
         "n_distinct_words": np.bincount(word_row[~_later(words, word_row)], minlength=rows),
     }
@@ -133,23 +132,24 @@ class Rule:
 
 def rules() -> list[Rule]:
     """Each rule is sure at both ends and says nothing between; on short texts most have nothing to go by."""
-    words, chars = F.col("n_words"), F.greatest(F.col("n_chars"), F.lit(1))
-    enough = words >= 20
+    words, solid, lines = F.col("n_words"), F.col("word_chars"), F.col("n_lines")
+    enough, rows = words >= 20, lines >= 4
 
-    def share(part: str, whole: Column) -> Column:
-        return F.col(part) / F.greatest(whole, F.lit(1))
+    def share(part: str, whole: Column, least: int, most: int) -> Column:
+        """Whether a part is between two hundredths of the whole."""
+        return (100 * F.col(part) >= least * whole) & (100 * F.col(part) <= most * whole)
 
-    length = share("word_chars", words)
-    lines = F.col("n_lines")
     return [
         Rule("length", words >= 50, words < 20),
-        Rule("word_length", enough & length.between(3, 10), enough & ((length < 2) | (length > 15))),
-        Rule("symbols", enough & (F.col("n_symbols") * 100 <= words), F.col("n_symbols") * 10 > words),
-        Rule("dup_lines", (lines >= 3) & (F.col("n_dup_lines") * 20 <= lines), (lines >= 3) & (F.col("n_dup_lines") * 10 > lines * 3)),
-        Rule("repeats", enough & (F.col("n_repeat_words") * 10 <= words), enough & (F.col("n_repeat_words") * 10 > words * 4)),
-        Rule("letters", enough & (F.col("n_letters") * 100 >= chars * 70), (F.col("n_letters") * 100 < chars * 55)),
-        Rule("digits", enough & (F.col("n_digits") * 100 <= chars * 3), F.col("n_digits") * 100 > chars * 15),
-        Rule("endings", (lines >= 2) & (F.col("n_ended_lines") * 10 >= lines * 7), (lines >= 4) & (F.col("n_ended_lines") * 10 < lines)),
+        Rule("word_length", enough & share("word_chars", words, 300, 1000), enough & ~share("word_chars", words, 200, 1500)),
+        Rule("symbols", enough & share("n_symbols", words, 0, 2), ~share("n_symbols", words, 0, 10)),
+        Rule("symbol_words", enough & share("n_symbol_words", words, 0, 2), ~share("n_symbol_words", words, 0, 20)),
+        Rule("letters", enough & share("n_letters", solid, 85, 100), ~share("n_letters", solid, 70, 100)),
+        Rule("digits", enough & share("n_digits", solid, 0, 5), ~share("n_digits", solid, 0, 20)),
+        Rule("dup_lines", rows & share("n_dup_lines", lines, 0, 5), rows & ~share("n_dup_lines", lines, 0, 30)),
+        Rule("repeats", enough & share("n_repeat_words", words, 0, 10), enough & ~share("n_repeat_words", words, 0, 40)),
+        Rule("distinct_words", enough & share("n_distinct_words", words, 30, 100) & (words < 1000), enough & ~share("n_distinct_words", words, 15, 100) & (words < 1000)),
+        Rule("endings", rows & share("n_ended_lines", lines, 70, 100), rows & ~share("n_ended_lines", lines, 10, 100)),
     ]
 
 
@@ -170,7 +170,7 @@ class Model:
 
     share: float
     odds: np.ndarray  # rule, vote
-    accuracy: np.ndarray  # share of right votes among those given
+    accuracy: np.ndarray  # rule, class: share of right votes among those given
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         votes = _votes(patterns, len(self.odds))
@@ -184,32 +184,28 @@ def _votes(patterns: np.ndarray, n: int) -> np.ndarray:
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, n: int) -> Model:
-    """Expectation-maximisation over counted patterns. Whether a rule votes may depend on the class too."""
+    """Expectation-maximisation over counted patterns: share of good documents, and by class how often a vote given is good."""
     votes = _votes(patterns, n)
-    one = (votes[:, :, None] == np.arange(3)).astype(float)  # pattern, rule, vote
-    given = np.einsum("p,prv->rv", counts, one) / max(counts.sum(), 1)
-    # At first: votes are right with BEGIN, abstaining says nothing.
-    begin = np.array([[1.0, BEGIN, 1 - BEGIN], [1.0, 1 - BEGIN, BEGIN]])
-    rates = np.stack([np.stack([given[:, 0], (1 - given[:, 0]) * b[1], (1 - given[:, 0]) * b[2]], axis=1) for b in begin])  # class, rule, vote
+    good, bad = votes == 1, votes == 2
+    says_good = np.stack([np.full(n, BEGIN), np.full(n, 1 - BEGIN)])  # class, rule
     share, before = 0.5, np.inf
-    smooth = PRIOR * np.array([1 / 3, 1 / 3, 1 / 3])
-    rates = (rates * counts.sum() + smooth) / (counts.sum() + PRIOR)
     for _ in range(ROUNDS):
-        log = np.einsum("prv,crv->pc", one, np.log(rates)) + np.log([share, 1 - share])
+        log = good @ np.log(says_good).T + bad @ np.log(1 - says_good).T + np.log([share, 1 - share])
         top = log.max(axis=1, keepdims=True)
         weight = np.exp(log - top)
         total = weight.sum(axis=1, keepdims=True)
         weight *= counts[:, None] / total
         likelihood = float((counts * (np.log(total) + top)[:, 0]).sum())
+        yes, no = weight.T @ good, weight.T @ bad
         mass = weight.sum(axis=0)
-        rates = (np.einsum("pc,prv->crv", weight, one) + smooth) / (mass[:, None, None] + PRIOR)
+        begin = PRIOR * np.array([[BEGIN], [1 - BEGIN]])
+        says_good = (yes + begin) / (yes + no + PRIOR)
         share = float((mass[0] + 1) / (mass.sum() + 2))
         if abs(likelihood - before) <= 1e-9 * max(1.0, abs(likelihood)):
             break
         before = likelihood
-    right = share * rates[0, :, 1] + (1 - share) * rates[1, :, 2]
-    spoken = right + share * rates[0, :, 2] + (1 - share) * rates[1, :, 1]
-    return Model(share, np.log(rates[0]) - np.log(rates[1]), right / spoken)
+    odds = np.stack([np.zeros(n), np.log(says_good[0] / says_good[1]), np.log((1 - says_good[0]) / (1 - says_good[1]))], axis=1)
+    return Model(share, odds, np.stack([says_good[0], 1 - says_good[1]], axis=1))
 
 
 def fit(described: DataFrame, given: list[Rule] | None = None) -> Model:

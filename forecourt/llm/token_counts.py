@@ -159,12 +159,13 @@ def _library(spec: str) -> Tokenizer:
 
 
 @cache
-def _unassigned() -> regex.Pattern:
-    """Character class of the code points that this Python knows nothing of; other tables may know them."""
-    unknown = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    starts = [c for c, before in zip(unknown, [-1, *unknown], strict=False) if c != before + 1]
-    ends = [c for c, after in zip(unknown, [*unknown[1:], -1], strict=True) if after != c + 1]
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
+def _unassigned() -> np.ndarray:
+    """Which code points this Python knows nothing of; other tables may know them."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+
+
+def _has_unassigned(text: str) -> bool:
+    return bool(_unassigned()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
 
 
 class Counter:
@@ -174,12 +175,11 @@ class Counter:
         self.vocabulary = vocabulary
         self.find = regex.compile(PATTERN).findall
         self.specials = regex.compile("|".join(map(regex.escape, sorted(vocabulary.specials, key=len, reverse=True))) or r"(?!)")
-        self.unknown = _unassigned().search
         self.kept: dict[str, int] = {}
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens; of texts with code points unknown to this Python, as the library's own tables cut them."""
-        if text.isascii() or not self.unknown(text):
+        if text.isascii() or not _has_unassigned(text):
             return self.find(_normal(text))
         library = _library(self.vocabulary.spec)
         text = library.normalizer.normalize_str(text)

@@ -55,21 +55,17 @@ def byte_signs() -> dict[str, int]:
 
 @dataclass(frozen=True)
 class Entries:
-    """The bytes of a vocabulary's entries, one after the other, and where each begins."""
+    """The bytes of a vocabulary's entries, and how many each has."""
 
-    data: np.ndarray
-    starts: np.ndarray
+    data: list[bytes]
     lengths: np.ndarray
 
     @classmethod
     def of(cls, entries: list[bytes]) -> Entries:
-        lengths = np.array([len(e) for e in entries], np.int64)
-        return cls(np.frombuffer(b"".join(entries), np.uint8), np.cumsum(lengths) - lengths, lengths)
+        return cls(entries, np.array([len(e) for e in entries], np.int64))
 
-    def joined(self, ids: np.ndarray) -> np.ndarray:
-        lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        return self.data[np.arange(ends[-1] if len(ids) else 0) + np.repeat(self.starts[ids] - (ends - lengths), lengths)]
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.data.__getitem__, ids))
 
 
 def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +103,7 @@ class Tokenizers:
         ])
         self.sizes = (len(self.a_entries.lengths), len(self.b_entries.lengths))
         self.digits, self.shown = _decimals(max(self.sizes))
+        self.width = self.shown.sum(axis=1)
 
     def a_ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
@@ -122,18 +119,7 @@ def tokenizers(json_path: str, model_path: str) -> Tokenizers:
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum())), lengths
-
-
-def _same(entries: Entries, ids: np.ndarray, lengths: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Which rows' joined entries are that row's bytes."""
-    rows = np.repeat(np.arange(len(lengths)), lengths)
-    right = np.bincount(rows, entries.lengths[ids], len(lengths)).astype(np.int64) == sizes
-    got = entries.joined(ids[right[rows]])
-    want = data[np.repeat(right, sizes)]
-    owner = np.repeat(np.flatnonzero(right), sizes[right])
-    right[owner[got != want]] = False
-    return right
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum())), np.repeat(np.arange(len(lists)), lengths)
 
 
 @dataclass
@@ -144,48 +130,55 @@ class Alignment:
     b: np.ndarray
     a_row: np.ndarray
     b_row: np.ndarray
-    a_end: np.ndarray
-    b_end: np.ndarray
-    ends: np.ndarray  # where both sides end
-    links: np.ndarray  # place in a, place in b
-
-
-def align(t: Tokenizers, texts: list[str], data: np.ndarray, sizes: np.ndarray) -> Alignment:
-    """``data`` holds the bytes of space+text of all rows (a row of size 0 has no text), ``sizes`` how many each has."""
-    (a, n_a), (b, n_b) = _flat(t.a_ids(texts)), _flat(t.b_ids(texts))
-    n_a_row, n_b_row = (np.repeat(np.arange(len(texts)), n) for n in (n_a, n_b))
-    good = _same(t.a_entries, a, n_a, data, sizes) & _same(t.b_entries, b, n_b, data, sizes) & (sizes > 0)
-    a, a_row = a[good[n_a_row]], n_a_row[good[n_a_row]]
-    b, b_row = b[good[n_b_row]], n_b_row[good[n_b_row]]
+    a_last: np.ndarray  # whether the other side ends where the token ends
+    b_last: np.ndarray
+    links: tuple[np.ndarray, np.ndarray]  # places in a and in b
+
+
+def align(t: Tokenizers, texts: list[str]) -> Alignment:
+    a_lists, b_lists = t.a_ids(texts), t.b_ids(texts)
+    for i, text in enumerate(texts):
+        want = f" {text}".encode()
+        if not text or t.a_entries.joined(a_lists[i]) != want or t.b_entries.joined(b_lists[i]) != want:
+            a_lists[i] = b_lists[i] = []
+    (a, a_row), (b, b_row) = _flat(a_lists), _flat(b_lists)
     a_end, b_end = np.cumsum(t.a_entries.lengths[a]), np.cumsum(t.b_entries.lengths[b])
-    sides = [pd.DataFrame({"doc": row, "start": end - entries.lengths[ids], side: np.arange(len(ids))})
-             for side, ids, row, end, entries in (("a", a, a_row, a_end, t.a_entries), ("b", b, b_row, b_end, t.b_entries))]
-    if len(a):
-        forth = pd.merge_asof(sides[0], sides[1], on="start", by="doc")
-        back = pd.merge_asof(sides[1], sides[0].assign(same=sides[0]["start"]), left_on="start", right_on="start", by="doc")
-        back = back[back["same"] != back["start"]]
-        links = np.concatenate([forth[["a", "b"]].to_numpy(), back[["a", "b"]].to_numpy()])
-    else:
-        links = np.zeros((0, 2), np.int64)
-    return Alignment(a, b, a_row, b_row, a_end, b_end, np.intersect1d(a_end, b_end, assume_unique=True), links)
+    marks = np.zeros((2, int(a_end[-1]) + 1 if len(a) else 1), bool)
+    marks[0, a_end] = marks[1, b_end] = True
+    a_start, b_start = a_end - t.a_entries.lengths[a], b_end - t.b_entries.lengths[b]
+    if not len(a):
+        return Alignment(a, b, a_row, b_row, marks[1, a_end], marks[0, b_end], (a, b))
+    a_side = pd.DataFrame({"doc": a_row, "start": a_start, "a": np.arange(len(a))})
+    b_side = pd.DataFrame({"doc": b_row, "start": b_start, "b": np.arange(len(b))})
+    covering_b = pd.merge_asof(a_side, b_side, on="start", by="doc")["b"].to_numpy()
+    covering_a = pd.merge_asof(b_side, a_side, on="start", by="doc")["a"].to_numpy()
+    more = np.flatnonzero(a_start[covering_a] != b_start)  # equal starts were found from the other side
+    links = np.concatenate([np.arange(len(a)), covering_a[more]]), np.concatenate([covering_b, more])
+    return Alignment(a, b, a_row, b_row, marks[1, a_end], marks[0, b_end], links)
 
 
 def group_texts(t: Tokenizers, x: Alignment, rows: int) -> tuple[list[bytes], np.ndarray]:
     """``a1,a2|b1;a3|b2,b3`` of every row, and its number of groups."""
-    group = np.concatenate([np.searchsorted(x.ends, end) for end in (x.a_end, x.b_end)])
-    side = np.repeat([0, 1], [len(x.a), len(x.b)])
-    order = np.argsort(2 * group + side, kind="stable")
-    ids, row = np.concatenate([x.a, x.b])[order], np.concatenate([x.a_row, x.b_row])[order]
-    part = (2 * group + side)[order]
-    last = np.append(part[1:] != part[:-1], True) if len(part) else np.zeros(0, bool)
-    sign = np.where(last, np.where(part % 2 == 0, ord("|"), ord(";")), ord(",")).astype(np.uint8)
-    final = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)
-    cells = np.concatenate([t.digits[ids], sign[:, None]], axis=1)
-    shown = np.concatenate([t.shown[ids], ~final[:, None]], axis=1)
+    groups = np.bincount(x.a_row[x.a_last], minlength=rows)
+    if not len(x.a):
+        return [b""] * rows, groups
+    # A token stands behind all tokens of earlier groups, and B's behind those of A in its own.
+    a_cuts, b_cuts = np.flatnonzero(x.a_last) + 1, np.flatnonzero(x.b_last) + 1
+    a_at = np.arange(len(x.a)) + np.append(0, b_cuts)[np.cumsum(x.a_last) - x.a_last]
+    b_at = np.arange(len(x.b)) + a_cuts[np.cumsum(x.b_last) - x.b_last]
+    n, width = len(x.a) + len(x.b), t.digits.shape[1]
+    cells, shown, size = np.empty((n, width + 1), np.uint8), np.ones((n, width + 1), bool), np.empty(n, np.int64)
+    final = np.flatnonzero(np.append(x.b_row[1:] != x.b_row[:-1], True))
+    for ids, at, last, sign in ((x.a, a_at, x.a_last, b"|"), (x.b, b_at, x.b_last, b";")):
+        cells[at, :width], shown[at, :width], size[at] = t.digits[ids], t.shown[ids], t.width[ids] + 1
+        cells[at, width] = np.where(last, sign[0], ord(","))
+    shown[b_at[final], width] = False
+    size[b_at[final]] -= 1
     text = cells[shown].tobytes()
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(row, shown.sum(axis=1), rows).astype(np.int64))])
-    groups = np.bincount(row[last & (part % 2 == 1)], minlength=rows)
-    return [text[cuts[i] : cuts[i + 1]] for i in range(rows)], groups
+    ends = np.zeros(rows, np.int64)
+    ends[x.b_row[final]] = np.cumsum(size)[b_at[final]]
+    ends = np.maximum.accumulate(ends)
+    return [text[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)], groups
 
 
 def _pair_type(sizes: tuple[int, int]) -> type:
@@ -205,16 +198,12 @@ def _aligner(json_path: str, model_path: str):
         kind = _pair_type(t.sizes)
         number = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text", SLICE):
-            column = batch.column("text").fill_null("")
-            texts, rows = column.to_pylist(), batch.num_rows
-            raw, offsets = text_bytes(column)
-            full = np.diff(offsets) > 0
-            data = np.insert(raw, offsets[:-1][full], ord(" "))
-            x = align(t, texts, data, np.diff(offsets) + full)
+            texts, rows = batch.column("text").fill_null("").to_pylist(), batch.num_rows
+            x = align(t, texts)
             described, groups = group_texts(t, x, rows)
             n_a, n_b = np.bincount(x.a_row, minlength=rows), np.bincount(x.b_row, minlength=rows)
-            row = x.a_row[x.links[:, 0]].astype(np.uint64)
-            pair = (x.a[x.links[:, 0]] * t.sizes[1] + x.b[x.links[:, 1]]).astype(np.uint64)
+            row = x.a_row[x.links[0]].astype(np.uint64)
+            pair = (x.a[x.links[0]] * t.sizes[1] + x.b[x.links[1]]).astype(np.uint64)
             # Pairs by row: sorted and counted row by row where one number cannot hold both.
             order = np.lexsort((pair, row)) if kind is np.uint64 else None
             if order is None:

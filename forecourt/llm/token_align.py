@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,7 +41,10 @@ from forecourt.llm.words import row_of, slices, text_bytes
 
 MAX_SENT = 4 << 20  # pairs, at 12 bytes, that each worker holds
 GATHERED = 1 << 21  # pairs that a task holds before it hands their counts on
-SLICE = 1 << 20
+SLICE = 2 << 20
+ASKED = 4_000  # parts that make one text for the library
+PARTS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+").findall
+OTHER_WHITE = re.compile(r"[^\S \t-\r]").search
 
 ALIGNED = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
            "pairs binary, occurrences binary")
@@ -105,11 +109,32 @@ class Tokenizers:
         self.digits, self.shown = _decimals(max(self.sizes))
         self.width = self.shown.sum(axis=1)
 
-    def a_ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-
-    def b_ids(self, texts: list[str]) -> list[list[int]]:
-        return self.b.encode(texts, num_threads=1)
+    def a_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of space+text of all texts, and how many each has.
+
+        No pre-token reaches from a sign to the white space behind it, so texts fall into parts that begin there, and a
+        batch's distinct parts, one after the other, are one text to the library. Parts that end in white space, or hold
+        other white space than ASCII's, are asked for alone."""
+        parts = [[" " + t] if OTHER_WHITE(t) else PARTS(" " + t) for t in texts]
+        apart = {p[-1] for p in parts if len(p) == 1 or p[-1][-1].isspace()}
+        joint, single = list(set(chain.from_iterable(parts)) - apart), list(apart)
+        asked = ["".join(joint[i : i + ASKED]) for i in range(0, len(joint), ASKED)] + single
+        answers = [e.ids for e in self.a.encode_batch_fast(asked, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(answers), np.int64, sum(map(len, answers)))
+        ordered = joint + single
+        ends = np.searchsorted(np.cumsum(self.a_entries.lengths[ids]), np.cumsum([len(p.encode()) for p in ordered])) + 1
+        place = dict(zip(ordered, range(len(ordered)), strict=True))
+        begins = np.append(0, ends[:-1])
+        which = np.fromiter(map(place.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        size = (ends - begins)[which]
+        of_parts = np.append(0, np.cumsum(size))
+        flat = ids[np.arange(of_parts[-1]) + np.repeat(begins[which] - of_parts[:-1], size)]
+        return flat, np.diff(of_parts[np.cumsum([0, *map(len, parts)])])
+
+    def b_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = self.b.encode(texts, num_threads=1)
+        lengths = np.array([len(x) for x in lists], np.int64)
+        return np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum())), lengths
 
 
 @cache
@@ -117,9 +142,11 @@ def tokenizers(json_path: str, model_path: str) -> Tokenizers:
     return Tokenizers(json_path, model_path)
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum())), np.repeat(np.arange(len(lists)), lengths)
+def _bare(entries: Entries, ids: np.ndarray, counts: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Which texts' joined entries are not the bytes of space+text."""
+    cuts = np.append(0, np.cumsum(counts)).tolist()
+    values = ids.tolist()
+    return np.array([entries.joined(values[i:j]) != f" {t}".encode() for i, j, t in zip(cuts, cuts[1:], texts, strict=False)], bool)
 
 
 @dataclass
@@ -136,12 +163,11 @@ class Alignment:
 
 
 def align(t: Tokenizers, texts: list[str]) -> Alignment:
-    a_lists, b_lists = t.a_ids(texts), t.b_ids(texts)
-    for i, text in enumerate(texts):
-        want = f" {text}".encode()
-        if not text or t.a_entries.joined(a_lists[i]) != want or t.b_entries.joined(b_lists[i]) != want:
-            a_lists[i] = b_lists[i] = []
-    (a, a_row), (b, b_row) = _flat(a_lists), _flat(b_lists)
+    (a, n_a), (b, n_b) = t.a_ids(texts), t.b_ids(texts)
+    none = np.array([not text for text in texts], bool) | _bare(t.a_entries, a, n_a, texts) | _bare(t.b_entries, b, n_b, texts)
+    a_row, b_row = (np.repeat(np.arange(len(texts)), n) for n in (n_a, n_b))
+    if none.any():
+        (a, a_row), (b, b_row) = ((ids[~none[row]], row[~none[row]]) for ids, row in ((a, a_row), (b, b_row)))
     a_end, b_end = np.cumsum(t.a_entries.lengths[a]), np.cumsum(t.b_entries.lengths[b])
     marks = np.zeros((2, int(a_end[-1]) + 1 if len(a) else 1), bool)
     marks[0, a_end] = marks[1, b_end] = True

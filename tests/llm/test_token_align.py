@@ -89,6 +89,19 @@ def test_any_text(texts):
         assert (described[i].decode(), groups[i], links) == ((";".join(want[2]), len(want[2]), sorted(want[3])) if want else ("", 0, []))
 
 
+def test_parts_of_texts(monkeypatch):
+    """Asking for distinct parts gives the library's ids, whatever counts as white space."""
+    t = token_align.tokenizers(JSON, MODEL)
+    odd = [chr(c) for c in (*range(0x21), 0x7F, 0x85, 0xA0, 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF, 0x1F600)]
+    texts = [a + x + b + y + c for x in odd for y in [" ", "\n", *odd[::7]] for a, b, c in (("a", "", "b"), ("", "'s", ""), ("1.", "é", "  x"))]
+    want = [A.encode(" " + x, add_special_tokens=False).ids for x in texts]
+    for size in (1, 3, 4000):
+        monkeypatch.setattr(token_align, "ASKED", size)
+        ids, counts = t.a_ids(texts)
+        cuts = [0, *counts.cumsum().tolist()]
+        assert [ids[i:j].tolist() for i, j in zip(cuts, cuts[1:], strict=False)] == want
+
+
 def test_task_hands_counts_on(spark, monkeypatch):
     """Pairs of the same document never count twice, also when a task's table is full."""
     monkeypatch.setattr(token_align, "GATHERED", 3)

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from heapq import nsmallest
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from forecourt.functions import fixed, text, urls
 from forecourt.operators.ingest import first_per_key
-from forecourt.session import ship_package
+from forecourt.session import cut_lineage, ship_package
 
 # Elements that have no content and close themselves. Fixed values.
 VOID_TAGS = frozenset(
@@ -24,32 +30,70 @@ DETAIL_TAGS = ["span", "div", "p"]
 TEXT_TAGS = frozenset([
     *LISTING_TAGS, *DETAIL_TAGS, "title", "a", "h1", "h2", "h3", "h4", "td", "th", "ul",
 ])
+# Elements whose whole text the catalog, links and features read; they seldom hold each other.
+LISTING_TEXTS = frozenset([*LISTING_TAGS, *DETAIL_TAGS])
+BRIEF_TAGS = frozenset(["title", "a", "h1", "h2", "h3", "h4", "td", "th", "li", "p"])
 ATTRIBUTES = ["id", "class", "href", "src", "data-src", "style", "alt", "title", "data-feature", "srcset"]
 
 ELEMENTS = (
-    "page_id bigint, ord int, parent_ord int, ancestors array<int>, tag string, text string, "
+    "page_id bigint, ord int, last_ord int, parent_ord int, depth int, leaf boolean, tag string, own_text string, text string, "
     "raw_text string, " + ", ".join(f"attr_{a.replace('-', '_')} string" for a in ATTRIBUTES)
 )
+OUT_ROWS, OUT_CHARS = 20_000, 4 << 20
+
+
+class _Stream:
+    """Pieces of text in page order, with and without the white space around them."""
+
+    def __init__(self) -> None:
+        self.raw: list[str] = []
+        self.stripped: list[str] = []
+
+
+class _Element:
+    __slots__ = ("attrs", "depth", "first", "last", "last_ord", "leaf", "own", "parent", "stream", "tag")
+
+    def __init__(self, tag: str, attrs: dict, parent: int, depth: int, stream: _Stream) -> None:
+        self.tag, self.attrs, self.parent, self.depth, self.stream = tag, attrs, parent, depth, stream
+        self.first = self.last = len(stream.raw)
+        self.own: list[str] = []
+        self.last_ord = -1
+        self.leaf = tag in TEXT_TAGS  # until a text element begins inside
+
+    def below(self) -> list[str]:
+        return ["".join(pieces[self.first : self.last]) for pieces in (self.stream.stripped, self.stream.raw)]
 
 
 class _Outline(HTMLParser):
-    """Collects one row per element, in page order, with the text below it."""
+    """Elements of a page as nested intervals, in order of their start: every element knows the number of the last one
+    inside it, and which run of the page's pieces of text lies below it. Nothing is repeated for the elements around."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []  # parent, tag, attributes, ancestors, stripped pieces, raw pieces
+        self.elements: list[_Element] = []
         self.open: list[int] = []
+        self.streams = [_Stream()]
         self.pending: list[str] = []
+        self.open_tags: Counter[str] = Counter()
+        self.open_texts: list[int] = []
 
     def handle_starttag(self, tag, attrs):
         self._flush()
-        given = dict(reversed(attrs))
-        row = [self.open[-1] if self.open else -1, tag, given, list(self.open), [], []]
-        self.rows.append(row)
+        if tag in SILENT_TAGS:
+            self.streams.append(_Stream())
+        element = _Element(tag, dict(reversed(attrs)), self.open[-1] if self.open else -1, len(self.open), self.streams[-1])
+        self.elements.append(element)
+        if element.leaf and self.open_texts:
+            self.elements[self.open_texts[-1]].leaf = False
         if tag == "br":
             self._write("\n", "")
-        if tag not in VOID_TAGS:
-            self.open.append(len(self.rows) - 1)
+        if tag in VOID_TAGS:
+            element.last_ord, element.last = len(self.elements) - 1, element.first
+        else:
+            self.open.append(len(self.elements) - 1)
+            self.open_tags[tag] += 1
+            if element.leaf:
+                self.open_texts.append(len(self.elements) - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -57,8 +101,8 @@ class _Outline(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        if any(self.rows[i][1] == tag for i in self.open):
-            while self.rows[self.open.pop()][1] != tag:
+        if self.open_tags[tag]:
+            while self._end() != tag:
                 pass
 
     def handle_data(self, data):
@@ -67,6 +111,16 @@ class _Outline(HTMLParser):
     def handle_comment(self, data):
         self._flush()
 
+    def _end(self) -> str:
+        if self.open_texts and self.open_texts[-1] == self.open[-1]:
+            self.open_texts.pop()
+        element = self.elements[self.open.pop()]
+        element.last_ord, element.last = len(self.elements) - 1, len(element.stream.raw)
+        self.open_tags[element.tag] -= 1
+        if element.tag in SILENT_TAGS:
+            self.streams.pop()
+        return element.tag
+
     def _flush(self):
         if self.pending:
             raw = "".join(self.pending)
@@ -74,43 +128,69 @@ class _Outline(HTMLParser):
             self._write(raw, raw.strip())
 
     def _write(self, raw, stripped):
-        for depth in range(len(self.open) - 1, -1, -1):
-            row = self.rows[self.open[depth]]
-            if row[1] in TEXT_TAGS:
-                row[4].append(stripped)
-                row[5].append(raw)
-            if row[1] in SILENT_TAGS:
-                break
-
-    def outline(self, html: str) -> list[list]:
+        self.streams[-1].raw.append(raw)
+        self.streams[-1].stripped.append(stripped)
+        if self.open and stripped:
+            self.elements[self.open[-1]].own.append(stripped)
+
+    def outline(self, html: str) -> list[_Element]:
         self.feed(html)
         self.close()
         self._flush()
-        return self.rows
+        while self.open:
+            self._end()
+        return self.elements
+
+
+def _outlines(texts: frozenset[str], leaves: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in ELEMENTS.split(", ")]
+        out, size = [], 0
+
+        def made() -> pd.DataFrame:
+            return pd.DataFrame(out, columns=names).astype({"page_id": "int64", "leaf": "bool"} | {c: "int32" for c in names[1:5]})
+
+        for batch in batches:
+            for page_id, html in zip(batch["page_id"], batch["html"]):
+                for ord_, e in enumerate(_Outline().outline(html) if html is not None else []):
+                    text_below = e.below() if e.tag in texts or (leaves and e.leaf) else [None, None]
+                    size += len(text_below[1] or "")
+                    out.append((page_id, ord_, e.last_ord, e.parent, e.depth, e.leaf, e.tag, "".join(e.own), *text_below, *[e.attrs.get(a) for a in ATTRIBUTES]))
+                    if len(out) >= OUT_ROWS or size >= OUT_CHARS:
+                        yield made()
+                        out, size = [], 0
+        yield made()
 
+    return run
 
-def _outlines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["page_id", "ord", "parent_ord", "ancestors", "tag", "text", "raw_text"]
-    names += [f"attr_{a.replace('-', '_')}" for a in ATTRIBUTES]
+
+def elements(pages: DataFrame, texts: frozenset[str] = frozenset(), leaves: bool = False) -> DataFrame:
+    """One row per element of every page, in page order: its interval (``ord`` to ``last_ord``, of itself and all elements
+    inside), its parent and depth, whether it is an innermost text element, the text that is directly its own, and the
+    attributes in use.
+
+    As large as the page, however deep it nests. Elements of the tags in ``texts`` (and innermost ones, if ``leaves``) also
+    carry the whole text below them, as ``text`` (pieces without the white space around them) and ``raw_text``; ask
+    only for tags that are read. A null page has no elements.
+    """
+    ship_package(pages.sparkSession)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInPandas(_outlines(frozenset(texts), leaves), ELEMENTS)
+
+
+def _chosen_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["page_id", "ord", "source_url", "text", "raw_text"]
     for batch in batches:
-        out = []
-        for page_id, html in zip(batch["page_id"], batch["html"]):
-            if html is None:
-                continue
-            for ord_, (parent, tag, attrs, ancestors, stripped, raw) in enumerate(_Outline().outline(html)):
-                has_text = tag in TEXT_TAGS
-                out.append((
-                    page_id, ord_, parent, ancestors, tag,
-                    "".join(stripped) if has_text else None, "".join(raw) if has_text else None,
-                    *[attrs.get(a) for a in ATTRIBUTES],
-                ))
-        yield pd.DataFrame(out, columns=names).astype({"page_id": "int64", "ord": "int32", "parent_ord": "int32"})
-
-
-def elements(pages: DataFrame) -> DataFrame:
-    """One row per element of every page: its place, its parents, its text and the attributes in use."""
+        for page_id, url, html, ords in zip(batch["page_id"], batch["url"], batch["html"], batch["ords"]):
+            found = _Outline().outline(html)
+            yield pd.DataFrame([(page_id, int(o), url, *found[o].below()) for o in ords], columns=names).astype({"page_id": "int64", "ord": "int32"})
+
+
+def texts_of(chosen: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, ord, source_url, text, raw_text) of some elements a page; ``chosen`` names page_id and ord."""
     ship_package(pages.sparkSession)
-    return pages.select("page_id", "html").mapInPandas(_outlines, ELEMENTS)
+    asked = chosen.groupBy("page_id").agg(F.sort_array(F.collect_list("ord")).alias("ords"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").join(asked, "page_id")
+    return rows.mapInPandas(_chosen_texts, "page_id bigint, ord int, source_url string, text string, raw_text string")
 
 
 def has_class(name: str) -> Column:
@@ -123,9 +203,43 @@ def has_any_class(names: list[str]) -> Column:
     )
 
 
-def _below(rows: DataFrame, holder: str = "holder") -> DataFrame:
-    """One row per element and element around it."""
-    return rows.withColumn(holder, F.explode("ancestors")).drop("ancestors")
+def _page_passes(payload: list[str]):
+    """One pass over each page's elements in order, with a stack of the holders that are open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, open_ = None, []
+        for batch in batches:
+            rows, holders = [], []
+            for i, (page_id, ord_, last) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "ord", "holder_last")), strict=True)):
+                if page_id != page:
+                    page, open_ = page_id, []
+                while open_ and open_[-1][1] < ord_:
+                    open_.pop()
+                if last is None:
+                    rows += [i] * len(open_)
+                    holders += [h for h, _ in open_]
+                else:
+                    open_.append((ord_, last))
+            if rows:
+                taken = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(taken) for c in payload], pa.array(holders, pa.int32())], names=[*payload, "holder"])
+
+    return run
+
+
+def inside(rows: DataFrame, holders: DataFrame) -> DataFrame:
+    """Each row with the number of every holder around it as ``holder``, a row for each.
+
+    ``rows`` have page_id, ord and any other columns; ``holders`` page_id, ord, last_ord. A page's rows and
+    holders meet in page order; the work is that of the output.
+    """
+    ship_package(rows.sparkSession)
+    both = rows.withColumn("holder_last", F.lit(None).cast("int")).unionByName(
+        holders.select("page_id", "ord", F.col("last_ord").alias("holder_last")), allowMissingColumns=True
+    )
+    # A row that is a holder as well comes before itself: it is not inside itself.
+    ordered = both.repartition("page_id").sortWithinPartitions("page_id", "ord", F.col("holder_last").asc_nulls_first())
+    return ordered.mapInArrow(_page_passes(rows.columns), StructType([*rows.schema.fields, StructField("holder", IntegerType())]))
 
 
 def picture_sources() -> Column:
@@ -146,67 +260,159 @@ def car_pictures(base: str = fixed.SITE_BASE_URL) -> Column:
 def element_images(rows: DataFrame, base: str = fixed.SITE_BASE_URL) -> DataFrame:
     """Likely car pictures with the element that shows them."""
     showing = rows.filter((F.col("tag") == "img") | F.col("attr_style").isNotNull())
-    return showing.select("page_id", "ord", "ancestors", F.posexplode(car_pictures(base)).alias("pos", "url"))
+    return showing.select("page_id", "ord", "depth", F.posexplode(car_pictures(base)).alias("pos", "url"))
 
 
-def container_fields(rows: DataFrame, base: str = fixed.SITE_BASE_URL) -> DataFrame:
-    """Fields of every listing-like element: those of its own text, overridden by its details.
+def field_rows(rows: DataFrame, base: str = fixed.SITE_BASE_URL) -> DataFrame:
+    """Elements that take part in listings, with the fields in their text and the pictures they show.
 
-    The text of an element is parsed once; the element then sends its fields to itself and to the
-    elements around it, which combine them. The first detail in page order wins.
+    The text is parsed in its row and goes no further: what leaves is some numbers and words an element.
     """
     is_holder, is_detail = F.col("tag").isin(LISTING_TAGS), F.col("tag").isin(DETAIL_TAGS)
     has_text = F.coalesce("text", F.lit("")) != ""
     wanted = ((is_holder | is_detail) & has_text) | (F.col("tag") == "img") | F.col("attr_style").isNotNull()
     shown = rows.filter(wanted).withColumn("shown", car_pictures(base)).select(
-        "page_id", "ord", "ancestors", "tag", "text", "raw_text", "shown"
+        "page_id", "ord", "last_ord", "tag", "text", "shown", (is_holder & has_text).alias("is_holder"),
+        (is_detail & has_text).alias("is_detail"),
     )
     read = text.with_fields(shown, "text", "own")
-    found = F.coalesce(*[F.col(f"own.{f}").cast("string") for f in text.FIELDS]).isNotNull()
-    nobody = F.array().cast("array<int>")
-    sent = read.withColumn("holder", F.explode(F.concat(
-        F.when(is_holder & has_text, F.array("ord")).otherwise(nobody),
-        F.when((is_detail & found) | (F.size("shown") > 0), F.col("ancestors")).otherwise(nobody),
-    )))
-    own = F.col("holder") == F.col("ord")
-    only_own = lambda column: F.max(F.when(own, F.col(column)))
-    detail = lambda f: F.min(
-        F.when(~own & is_detail & F.col(f"own.{f}").isNotNull(), F.struct("ord", F.col(f"own.{f}").alias("v")))
-    )["v"]
-    merged = [F.coalesce(detail(f), only_own(f"own.{f}")).alias(f"f_{f}") for f in text.FIELDS]
-    combined = sent.groupBy("page_id", "holder").agg(
-        only_own("tag").alias("tag"), only_own("text").alias("text"), only_own("raw_text").alias("raw_text"),
-        *merged,
-        # Pictures of one element of one page.
-        F.array_distinct(F.flatten(F.collect_list(F.when(~own, F.col("shown"))))).alias("image_urls"),
-    )
-    return combined.filter("tag is not null").select(
-        "page_id", F.col("holder").alias("ord"), "tag", "text", "raw_text",
-        F.struct(*[F.col(f"f_{f}").alias(f) for f in text.FIELDS]).alias("fields"),
-        F.when(F.size("image_urls") > 0, F.sort_array("image_urls")).alias("image_urls"),
+    printed = F.array(*[F.length(F.col(f"own.{f}").cast("string")) for f in text.FIELDS])
+    found = F.exists(printed, lambda n: n.isNotNull())
+    useful = F.col("is_holder") | (F.col("is_detail") & found) | (F.size("shown") > 0)
+    return read.withColumn("printed", printed).filter(useful).select(
+        "page_id", "ord", "last_ord", "tag", "is_holder", "is_detail", "printed", "shown", *[F.col(f"own.{f}").alias(f) for f in text.FIELDS]
     )
 
 
-def richness(fields: str = "fields", pictures: str = "image_urls") -> tuple[Column, Column]:
-    """Number of fields found, and their mean printed length (a list prints quotes and separators)."""
-    printed = [F.length(F.col(f"{fields}.{f}").cast("string")) for f in text.FIELDS]
-    has_pictures = F.coalesce(F.size(pictures), F.lit(0)) > 0
-    listed = F.when(
-        has_pictures, F.aggregate(pictures, F.lit(0), lambda acc, u: acc + F.length(u) + 4)
-    )
-    count, total = F.lit(0), F.lit(0)
-    for size in [*printed, listed]:
-        count = count + size.isNotNull().cast("int")
-        total = total + F.coalesce(size, F.lit(0))
-    return count, F.try_divide(total.cast("double"), count.cast("double"))
+@dataclass
+class _Holder:
+    """A container of the page that the pass is in, and where each of its fields comes from."""
+
+    place: int
+    sources: list[int | None]
+    n_pictures: int = 0
+    picture_chars: int = 0
+
+
+def _merged(ords: list[int], lasts: list[int], holds: list[bool], details: list[bool], printed: list[list[int | None]]) -> list[_Holder]:
+    """Containers of a page with the place of each field's value: the first detail inside, else the container itself.
+
+    Backwards over the page, the nearest later detail with a field is known for each; it lies inside or there is none."""
+    nearest: list[int | None] = [None] * len(text.FIELDS)
+    out = []
+    for i in range(len(ords) - 1, -1, -1):
+        if holds[i]:
+            within = [j if j is not None and ords[j] <= lasts[i] else (i if printed[i][f] is not None else None) for f, j in enumerate(nearest)]
+            out.append(_Holder(i, within))
+        if details[i]:
+            nearest = [i if printed[i][f] is not None else j for f, j in enumerate(nearest)]
+    out.reverse()
+    return out
+
+
+def _count_pictures(holders: list[_Holder], ords: list[int], lasts: list[int], shown: list[list[str]]) -> None:
+    """Number and length of the distinct pictures inside every container.
+
+    Sums grow from the inside out; a picture seen before is taken off again where both places first share a container."""
+    at = {h.place: h for h in holders}
+    open_: list[int] = []  # places of containers around, outermost first
+    seen: dict[str, int] = {}
+
+    def leave() -> None:
+        left = at[open_.pop()]
+        if open_:
+            around = at[open_[-1]]
+            around.n_pictures += left.n_pictures
+            around.picture_chars += left.picture_chars
+
+    for i, ord_ in enumerate(ords):
+        while open_ and lasts[open_[-1]] < ord_:
+            leave()
+        for url in shown[i]:
+            if open_:
+                inner = at[open_[-1]]
+                inner.n_pictures += 1
+                inner.picture_chars += len(url) + 4
+                if url in seen:
+                    # The innermost open container that begins before the earlier place holds both.
+                    shared = bisect_left(open_, seen[url]) - 1
+                    if shared >= 0:
+                        at[open_[shared]].n_pictures -= 1
+                        at[open_[shared]].picture_chars -= len(url) + 4
+            seen[url] = i
+        if i in at:
+            open_.append(i)
+    while open_:
+        leave()
+
+
+def _ranked(columns: dict[str, list], limit: int) -> Iterator[tuple]:
+    """The richest containers of one page."""
+    ords, lasts, shown = columns["ord"], columns["last_ord"], columns["shown"]
+    holders = _merged(ords, lasts, columns["is_holder"], columns["is_detail"], columns["printed"])
+    _count_pictures(holders, ords, lasts, shown)
+    scored = []
+    for h in holders:
+        lengths = [columns["printed"][j][f] for f, j in enumerate(h.sources) if j is not None]
+        n = len(lengths) + (h.n_pictures > 0)
+        if n >= 2:
+            scored.append((-(sum(lengths) + h.picture_chars) / n, ords[h.place], n, h))
+    for rank, (score, ord_, n, h) in enumerate(nsmallest(limit, scored, key=lambda c: c[:2]), 1):
+        end = bisect_right(ords, lasts[h.place])
+        pictures = sorted({u for urls_ in shown[h.place + 1 : end] for u in urls_})
+        values = [None if j is None else columns[name][j] for name, j in zip(text.FIELDS, h.sources, strict=True)]
+        yield columns["page_id"][0], ord_, lasts[h.place], columns["tag"][h.place], dict(zip(text.FIELDS, values, strict=True)), pictures or None, n, -score, rank
+
+
+def _tops(limit: int, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page: dict[str, list] = {}
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            ids, i = columns["page_id"], 0
+            while i < len(ids):
+                j = bisect_right(ids, ids[i], i)  # sorted by page
+                if page and page["page_id"][0] != ids[i]:
+                    out += _ranked(page, limit)
+                    page = {}
+                for name, values in columns.items():
+                    page.setdefault(name, []).extend(values[i:j])
+                i = j
+            if out:
+                yield made()
+                out = []
+        out += _ranked(page, limit) if page else []
+        if out:
+            yield made()
+
+    return run
+
+
+_PRINTED_KINDS = {"double": pa.float64(), "int": pa.int32(), "string": pa.string()}
 
 
 def top_containers(rows: DataFrame, limit: int = 20, base: str = fixed.SITE_BASE_URL) -> DataFrame:
-    """The richest elements per page: at least two fields, best score first, then page order."""
-    count, score = richness()
-    scored = container_fields(rows, base).withColumns({"n_fields": count, "score": score}).filter("n_fields >= 2")
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "ord"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    """The richest elements per page: at least two fields, best score first, then page order.
+
+    A container has the fields of its own text, overridden by those of the first detail inside that has them, and the
+    distinct pictures inside. Its score is the mean printed length of what it has (a list prints quotes and
+    separators). ``rows`` carry the texts of listing and detail tags. A page's elements are passed over twice in
+    order, so the work is that of the page whatever its depth.
+    """
+    ship_package(rows.sparkSession)
+    kinds = {r.field: r.kind for r in text.LISTING_RULES}
+    fields = pa.struct([(f, _PRINTED_KINDS[kinds[f]]) for f in text.FIELDS])
+    schema = pa.schema([("page_id", pa.int64()), ("ord", pa.int32()), ("last_ord", pa.int32()), ("tag", pa.string()), ("fields", fields),
+                        ("image_urls", pa.list_(pa.string())), ("n_fields", pa.int32()), ("score", pa.float64()), ("rank", pa.int32())])
+    ddl = (f"page_id bigint, ord int, last_ord int, tag string, fields struct<{', '.join(f'{f}: {kinds[f]}' for f in text.FIELDS)}>, "
+           "image_urls array<string>, n_fields int, score double, rank int")
+    ordered = field_rows(rows, base).repartition("page_id").sortWithinPartitions("page_id", "ord")
+    return ordered.mapInArrow(_tops(limit, schema), ddl)
 
 
 def listings(
@@ -219,13 +425,14 @@ def listings(
     base: str = fixed.SITE_BASE_URL,
 ) -> DataFrame:
     """Structured listings of every page: the richest containers that hold a price, a year or the make."""
-    top = top_containers(elements(pages), base=base).filter(F.col("rank") <= per_page)
+    # Written once: the chosen ones' texts are looked up in their pages, and ranked ones never carry texts.
+    top = cut_lineage(top_containers(elements(pages, LISTING_TEXTS), per_page, base))
+    top = top.join(texts_of(top, pages), ["page_id", "ord"])
     price, year = F.col("fields.price"), F.col("fields.year")
     currency = text.currency_of(F.col("raw_text"))
     given = (F.coalesce(price, F.lit(0.0)) != 0) | (F.coalesce(year, F.lit(0)) != 0)
     return (
         top.filter(given | F.contains("text", F.lit(make)))
-        .join(pages.select("page_id", F.col("url").alias("source_url")), "page_id")
         .select(
             "page_id", "rank", F.lit(source_site).alias("source_site"),
             text.source_id_of(F.col("text"), id_prefix).alias("source_id"), "source_url",
@@ -272,9 +479,8 @@ def fallback_listings(rows: DataFrame, make: str = "BMW", model: str = "M5", lim
 
 
 def leaf_texts(rows: DataFrame) -> DataFrame:
-    """Innermost text elements: those without a text element inside."""
-    inner = rows.filter("text is not null").select("page_id", F.explode("ancestors").alias("ord")).distinct()
-    return rows.filter(F.coalesce("text", F.lit("")) != "").join(inner, ["page_id", "ord"], "left_anti")
+    """Innermost text elements: those without a text element inside (rows of ``elements`` with ``leaves``)."""
+    return rows.filter(F.col("leaf") & (F.coalesce("text", F.lit("")) != ""))
 
 
 def links(rows: DataFrame, pages: DataFrame) -> DataFrame:
@@ -291,19 +497,19 @@ def generation_links(rows: DataFrame, base: str = fixed.CATALOG_BASE_URL) -> Dat
     """Name and address of each generation: links in a heading inside a model box."""
     named = (F.col("tag") == "a") & (F.coalesce("attr_href", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != "")
     around = rows.select(
-        "page_id", F.col("ord").alias("holder"),
+        "page_id", "ord", "last_ord",
         ((F.col("tag") == "div") & has_class("carmodel")).alias("box"), (F.col("tag") == "h2").alias("heading"),
     ).filter("box or heading")
-    inside = (
-        _below(rows.filter(named).select("page_id", "ord", "ancestors", F.trim("raw_text").alias("name"), "attr_href"))
-        .join(around, ["page_id", "holder"])
+    found = (
+        inside(rows.filter(named).select("page_id", "ord", F.trim("raw_text").alias("name"), "attr_href"), around)
+        .join(around.select("page_id", F.col("ord").alias("holder"), "box", "heading"), ["page_id", "holder"])
         .groupBy("page_id", "ord", "name", "attr_href")
         .agg(
             F.max(F.when(F.col("heading"), F.col("holder"))).alias("heading_at"),
             F.min(F.when(F.col("box"), F.col("holder"))).alias("box_at"),
         )
     )
-    return inside.filter("box_at < heading_at").select(
+    return found.filter("box_at < heading_at").select(
         "page_id", "ord", "name", urls.absolute_url("attr_href", base).alias("url")
     )
 
@@ -315,12 +521,14 @@ def highlight_features(rows: DataFrame) -> DataFrame:
         for i, (tag, name) in enumerate(fixed.FEATURE_CONTAINERS)
     ])
     holders = first_per_key(
-        rows.select("page_id", "ord", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind")),
+        rows.select("page_id", "ord", "last_ord", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind")),
         ["page_id", "kind"], "ord",
-    ).withColumnRenamed("ord", "holder")
-    items = _below(
-        rows.filter(F.col("tag").isin("li", "p")).select("page_id", "ord", "ancestors", "tag", F.trim("raw_text").alias("feature"))
-    ).join(holders, ["page_id", "holder"])
+    )
+    texts = rows.filter(F.col("tag").isin("li", "p")).select("page_id", "ord", "tag", F.trim("raw_text").alias("feature"))
+    # An element can be the first of several kinds.
+    items = inside(texts, holders.select("page_id", "ord", "last_ord").distinct()).join(
+        holders.select("page_id", F.col("ord").alias("holder"), "kind"), ["page_id", "holder"]
+    )
     lists = items.filter("tag = 'li'").select("page_id", "kind").distinct()
     chosen = items.filter("tag = 'li'").unionByName(
         items.filter("tag = 'p'").join(lists, ["page_id", "kind"], "left_anti").select(items.columns)
@@ -334,25 +542,25 @@ def gallery_images(rows: DataFrame, base: str = fixed.CATALOG_BASE_URL) -> DataF
     Rows come per kind of container and page order, one per address and kind.
     """
     pictures = rows.filter((F.col("tag") == "img") & (F.coalesce("attr_src", F.lit("")) != "")).select(
-        "page_id", "ord", "ancestors", "attr_src", "attr_alt", has_class("gallery").alias("in_class"),
+        "page_id", "ord", "attr_src", "attr_alt", has_class("gallery").alias("in_class"),
     ).filter(urls.is_real_picture("attr_src"))
     kinds = F.array(*[
         F.when((F.lit(tag is None) | (F.col("tag") == (tag or ""))) & has_class(name), F.lit(order))
         for order, (tag, name) in zip((1, 2, 4, 5), fixed.GALLERY_CONTAINERS)
     ])
     holders = rows.select(
-        "page_id", F.col("ord").alias("holder"), F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind")
+        "page_id", "ord", "last_ord", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind")
     )
     own = F.array(
         F.when(F.col("in_class"), F.lit(0)),
         F.when(F.contains(F.lower(F.coalesce("attr_alt", F.lit(""))), F.lit(fixed.GALLERY_ALT_WORD)), F.lit(3)),
     )
     found = pictures.select("page_id", "ord", "attr_src", "attr_alt", F.explode(F.filter(own, lambda k: k.isNotNull())).alias("kind"))
-    inside = _below(pictures.select("page_id", "ord", "ancestors", "attr_src", "attr_alt")).join(
-        holders, ["page_id", "holder"]
+    held = inside(pictures.select("page_id", "ord", "attr_src", "attr_alt"), holders.select("page_id", "ord", "last_ord").distinct()).join(
+        holders.select("page_id", F.col("ord").alias("holder"), "kind"), ["page_id", "holder"]
     ).select("page_id", "ord", "attr_src", "attr_alt", "kind")
     absolute = F.when(F.startswith("attr_src", F.lit("http")), F.col("attr_src")).otherwise(F.concat(F.lit(base), "attr_src"))
-    every = found.unionByName(inside).select(
+    every = found.unionByName(held).select(
         "page_id", "kind", "ord", absolute.alias("url"), F.coalesce("attr_alt", F.lit("")).alias("caption")
     )
     return first_per_key(every, ["page_id", "url"], "kind", "ord")

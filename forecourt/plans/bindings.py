@@ -217,6 +217,38 @@ def spec_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- Pages of listings: one per part, a card per line item; every third card has no picture of its own. ---
+LISTING_CARDS = """
+select l_partkey as page_id, p_name as name, line, cast(cast(floor(l_extendedprice) as bigint) as string) as price_text,
+  cast(year(o_orderdate) as int) as year, cast(l_quantity * 900 as int) as mileage, kind, cast(case when kind = 2 then 0 else 1 end as int) as pictured,
+  cast(3 + 7 * (line - 1) + sum(case when kind = 2 then 0 else 1 end) over (partition by l_partkey order by line) - case when kind = 2 then 0 else 1 end as int) as card_ord
+from (select *, cast(l_linenumber % 3 as int) as kind,
+        row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey) as line from {lineitem}) x
+join {orders} on l_orderkey = o_orderkey join {part} on l_partkey = p_partkey"""
+
+
+def listing_cards_sql() -> str:
+    return LISTING_CARDS.format(lineitem="lineitem", orders="orders", part="part")
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, html: a section of cards with name, price, facts, the dealer's picture and, on most, their own as an
+    element or as a background. A page's cards are those of one part."""
+    cards = spark.sql(LISTING_CARDS, **{t: table(spark, sf_dir, t) for t in ("lineitem", "orders", "part")})
+    own = F.concat(F.lit("/photo/"), F.col("page_id").cast("string"), F.lit("-"), F.col("line").cast("string"), F.lit(".jpg"))
+    shown = (
+        F.when(F.col("kind") == 0, F.concat(F.lit('<img src="'), own, F.lit('">')))
+        .when(F.col("kind") == 1, F.concat(F.lit("<div style=\"background-image: url('"), own, F.lit("')\"></div>"))).otherwise("")
+    )
+    card = F.concat(
+        F.lit('<article class="card"><h2>'), "name", F.lit("</h2>\n <p>"), "price_text", F.lit(' EUR</p><div class="facts"><span>'), F.col("year").cast("string"),
+        F.lit(" г.</span><span>"), F.col("mileage").cast("string"), F.lit(' км</span></div><img data-src="/photo/dealer.jpg">'), shown, F.lit("</article>\n"),
+    )
+    bodies = cards.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("line", card.alias("card")))).alias("cards"))
+    html = F.concat(F.lit('<html><body><section class="offers">'), F.array_join(F.transform("cards", lambda c: c["card"]), ""), F.lit("</section></body></html>"))
+    return bodies.select("page_id", F.concat(F.lit("https://cars.example.com/offers/"), F.col("page_id").cast("string")).alias("url"), html.alias("html"))
+
+
 # --- A 64-bit hash per document: majority of the word hash bits. Stands for a picture's hash. ---
 def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, md5 of the text, and 16 hex digits in which near copies of a text differ in few bits."""

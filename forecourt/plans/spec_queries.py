@@ -149,7 +149,7 @@ union all select p_partkey, 0, replace(lower(p_name), ' ', '_') || '_performance
 union all select p_partkey, 2, lower(p_type) || '_sport', 'power', cast(160 + p_size as string) || ' HP @ 6500 RPM' from part
 union all select p_partkey, 2, lower(p_type) || '_sport', 'unladen_weight', cast(2000 + p_size as string) || ' lbs (' || cast(1000 + p_size as string) || ' kg)' from part) r, range(2) b(part)""")
 def page_spec_rows(spark, sf_dir):
-    rows = pages.elements(spec_pages(spark, sf_dir))
+    rows = pages.elements(spec_pages(spark, sf_dir), pages.BRIEF_TAGS)
     # Every box holds one table, and both are blocks.
     return catalog.spec_rows(rows).select("page_id", "block_idx", "category", "key", "raw_text")
 
@@ -157,19 +157,19 @@ def page_spec_rows(spark, sf_dir):
 @query("""select p_partkey as page_id, p_name || ' seats' as feature from part union all select p_partkey, 'Cruise control' from part
 union all select p_partkey, 'Big screen' from part""")
 def page_features(spark, sf_dir):
-    return pages.highlight_features(pages.elements(spec_pages(spark, sf_dir))).select("page_id", "feature")
+    return pages.highlight_features(pages.elements(spec_pages(spark, sf_dir), pages.BRIEF_TAGS)).select("page_id", "feature")
 
 
 @query("""select p_partkey as page_id, 'https://cars.example.com/p/' || p_partkey || '.jpg' as url, 'BMW ' || p_name as caption, 'apple carplay' as label from part""")
 def page_gallery(spark, sf_dir):
-    rows = pages.elements(spec_pages(spark, sf_dir))
+    rows = pages.elements(spec_pages(spark, sf_dir), pages.BRIEF_TAGS)
     labels = pages.infotainment_features(rows).select("page_id", "label")
     return pages.gallery_images(rows, "https://cars.example.com").join(labels, "page_id").select("page_id", "url", "caption", "label")
 
 
 @query("""select p_partkey as page_id, p_type || ' ' || (1990 + p_size) || '-present' as name, 'https://cars.example.com/' || lower(p_type) || '/' as url from part""")
 def generation_links(spark, sf_dir):
-    return pages.generation_links(pages.elements(spec_pages(spark, sf_dir)), "https://cars.example.com").select("page_id", "name", "url")
+    return pages.generation_links(pages.elements(spec_pages(spark, sf_dir), pages.BRIEF_TAGS), "https://cars.example.com").select("page_id", "name", "url")
 
 
 LOADED = """with p as (select p_partkey, upper(replace(p_brand, '#', '')) as brand, p_type as model, 'G' || p_size as gen_name, p_name, p_size,
@@ -200,7 +200,7 @@ def catalog_images(spark, sf_dir):
 @query("""select p_partkey as page_id, cast(10 as int) as n_specs, 'Big screen|' || p_name || ' seats|Cruise control' as features,
   cast(1 as int) as n_images, 'apple carplay' as infotainment from part""")
 def page_bundle(spark, sf_dir):
-    out = catalog.page_bundle(cut_lineage(pages.elements(spec_pages(spark, sf_dir))))
+    out = catalog.page_bundle(cut_lineage(pages.elements(spec_pages(spark, sf_dir), pages.BRIEF_TAGS)))
     return out.select(
         "page_id", F.size("specs").alias("n_specs"), F.array_join("highlight_features", "|").alias("features"),
         F.size("gallery_images").alias("n_images"), F.array_join("infotainment", "|").alias("infotainment"),

@@ -93,7 +93,7 @@ select page_id, href, case when starts_with(href, '//') then 'https:' || href wh
   when not starts_with(href, 'http') then 'https://' || host || '/' || href else href end as url, count(*) as n from l group by all""")
 def page_links(spark, sf_dir):
     source = wide_table(spark, sf_dir, "pages")
-    return pages.links(pages.elements(source), source).groupBy("page_id", "href", "url").agg(F.count(F.lit(1)).alias("n"))
+    return pages.links(pages.elements(source, frozenset(["a"])), source).groupBy("page_id", "href", "url").agg(F.count(F.lit(1)).alias("n"))
 
 
 

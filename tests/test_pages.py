@@ -19,7 +19,7 @@ PAGE = """<html><head><title>BMW M5 (F90) specs</title></head><body>
 @pytest.fixture(scope="module")
 def rows(spark):
     source = spark.createDataFrame([(1, "https://x.example/a", PAGE), (2, "u", None)], "page_id long, url string, html string")
-    return pages.elements(source).checkpoint()
+    return pages.elements(source, pages.TEXT_TAGS).checkpoint()
 
 
 def test_container(rows):

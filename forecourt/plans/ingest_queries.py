@@ -10,6 +10,7 @@ from forecourt.operators import ingest, media
 from forecourt.plans.bindings import ads_sql, ads_view, enriched_sql, enriched_view, table, with_images
 from forecourt.plans.registry import query
 from forecourt.session import shared_folder
+from forecourt.sources import buckets
 from forecourt.streaming import ingest as stream_ingest
 
 # Orders as ads: the natural key repeats. Old rows and the batch overlap in half of the keys.
@@ -214,4 +215,82 @@ def incremental_ingest(spark, sf_dir):
     )
     root = f"{shared_folder(spark)}/ingest-{uuid4().hex}"
     stream_ingest.start_ingest(stream, f"{root}/ads", f"{root}/progress", order=["ord"]).awaitTermination()
-    return spark.read.parquet(f"{root}/ads")
+    return stream_ingest.read_ingested(spark, f"{root}/ads")
+
+
+@query("""with e as (select event_type as source_site, cast(user_id as string) as source_id, event_id as ord, value, event_id % 3 = 0 as early from events where user_id % 10 <> 0)
+select source_site, source_id, coalesce(min(ord) filter (early), min(ord)) as ord,
+  coalesce(arg_min(value, ord) filter (early), arg_min(value, ord)) as value from e group by source_site, source_id""")
+def incremental_ingest_runs(spark, sf_dir):
+    """Two runs, the second over all events: keys of the first run, and those known before, stay as they are."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("source_site"), F.col("user_id").cast("string").alias("source_id"), F.col("event_id").alias("ord"), "value", "user_id"
+    )
+    root = f"{shared_folder(spark)}/ingest-{uuid4().hex}"
+    events.filter("user_id % 10 = 0").select(*ingest.AD_KEY).distinct().write.parquet(f"{root}/known")
+    ads = events.drop("user_id")
+    for early in (F.col("ord") % 3 == 0, F.lit(True)):
+        ads.filter(early).write.mode("append").parquet(f"{root}/source")
+        known = stream_ingest.ad_stream(spark, f"{root}/known", ads.select(*ingest.AD_KEY).schema)
+        stream = stream_ingest.ad_stream(spark, f"{root}/source", ads.schema)
+        stream_ingest.start_ingest(stream, f"{root}/ads", f"{root}/progress", order=["ord"], known=known).awaitTermination()
+    return stream_ingest.read_ingested(spark, f"{root}/ads")
+
+
+def _bucketed(spark, rows, keys, n_buckets=16):
+    path = f"{shared_folder(spark)}/buckets-{uuid4().hex}"
+    buckets.write_buckets(rows, path, keys, n_buckets)
+    return path
+
+
+LATE_ORDERS = "cast(source_id as bigint) % 11 < 2"
+
+
+@query(f"""with o as ({O_SQL}), known as ({KNOWN.format(o=O_SQL)}),
+b as (select source_site, source_id, arg_max(price, ord) as price, arg_min(title, ord) as title from o where {LATE_ORDERS} group by source_site, source_id)
+select source_site, source_id, coalesce(k.title, b.title) as title, coalesce(b.price, k.price) as price, k.id as known_id from b full join known k using (source_site, source_id)""")
+def upsert_buckets(spark, sf_dir):
+    """A stored table after an upsert of a part of its keys and of new ones."""
+    batch = _order_ads(spark, sf_dir)
+    path = _bucketed(spark, _known(batch), ingest.AD_KEY)
+    buckets.upsert_buckets(path, batch.filter(LATE_ORDERS), ingest.AD_KEY, "ord", ["price"], ["title"], n_buckets=16)
+    is_old = F.col("source_id").cast("bigint") % 2 == 0
+    return buckets.read_buckets(spark, path).select("source_site", "source_id", "title", "price", F.when(is_old, F.col("id")).alias("known_id"))
+
+
+@query(f"""with o as ({O_SQL}), b as (select source_site, source_id, arg_max(title, ord) as raw_title, max(ord) as last_scraped_at, arg_min(price, ord) as price,
+  cast(source_id as bigint) % 2 = 0 as old, {LATE_ORDERS} as given from o group by source_site, source_id)
+select source_site, source_id, case when given then raw_title else 'old' end as raw_title, case when given then last_scraped_at else 0 end as last_scraped_at,
+  case when old then 'known' else cast(price as string) end as source_url, not old as is_active from b where old or given""")
+def ad_update_buckets(spark, sf_dir):
+    """Stored auction ads after a batch of known and new ones."""
+    ads = _order_ads(spark, sf_dir).select(
+        "source_site", "source_id", F.col("title").alias("raw_title"), F.col("ord").alias("last_scraped_at"), F.col("price").cast("string").alias("source_url"),
+    )
+    known = _known(_order_ads(spark, sf_dir)).select(
+        "id", "source_site", "source_id", F.lit("known").alias("source_url"), F.lit("old").alias("raw_title"),
+        F.lit(0).cast("bigint").alias("last_scraped_at"), F.lit(False).alias("is_active"),
+    )
+    path = _bucketed(spark, known, ingest.AD_KEY)
+    batch = ads.filter(LATE_ORDERS).withColumn("is_active", F.lit(True))
+    buckets.upsert_buckets(path, batch, ingest.AD_KEY, "last_scraped_at", ["raw_title", "raw_data", "last_scraped_at"], ["source_url", "is_active"], n_buckets=16)
+    return buckets.read_buckets(spark, path).drop("id")
+
+
+@query(f"""with enriched as ({enriched_sql("(" + ads_sql("id", "price", "model", "is_processed") + ") a")}),
+found as (select id as raw_ad_id, case when price < 5000 then 'green' else 'black' end as color, round(price / 200000, 4) as confidence
+  from ({ads_sql("id", "price", "mileage")}) a where price < 20000 and mileage % 2000 = 0)
+select coalesce(e.raw_ad_id, f.raw_ad_id) as raw_ad_id, coalesce(f.color, e.detected_color) as detected_color,
+  case when f.color is not null then f.confidence else e.detected_color_confidence end as detected_color_confidence, e.body_type
+from enriched e full join found f on e.raw_ad_id = f.raw_ad_id""")
+def color_enrichment_buckets(spark, sf_dir):
+    """Stored enrichment rows after the detected colours of some ads came in."""
+    enriched = enriched_view(spark, sf_dir)
+    path = _bucketed(spark, enriched, ["raw_ad_id"], 32)
+    ads = ads_view(spark, sf_dir, "id", "price", "mileage").filter("price < 20000 and mileage % 2000 = 0")
+    found = ads.select(
+        F.col("id").alias("raw_ad_id"), F.when(F.col("price") < 5000, "green").otherwise("black").alias("detected_color"),
+        F.round(F.col("price") / 200000, 4).alias("detected_color_confidence"),
+    )
+    buckets.upsert_buckets(path, found, ["raw_ad_id"], "raw_ad_id", ["detected_color", "detected_color_confidence"], id_column=None, n_buckets=32)
+    return buckets.read_buckets(spark, path).select("raw_ad_id", "detected_color", "detected_color_confidence", "body_type")

@@ -1,6 +1,9 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from forecourt.operators import ingest, listings, media
+from forecourt.sources import buckets
 from forecourt.streaming import ingest as stream
 
 KEY = ["source_site", "source_id"]
@@ -55,22 +58,114 @@ def test_new_images_decide_new_ads(spark):
     assert rows(ingest.ads_to_keep(batch_ads, known, fresh), "source_id") == [("fresh",), ("known",)]
 
 
+SCHEMA = "source_site string, source_id string, scraped_at int, title string"
+
+
+class Ingest:
+    """A folder of ads that arrive, and runs over it."""
+
+    def __init__(self, spark, root, known=None):
+        self.spark, self.root = spark, str(root)
+        self.schema = spark.createDataFrame([], SCHEMA).schema
+        self.known = known
+        if known is not None:
+            spark.createDataFrame(known, "source_site string, source_id string").write.parquet(f"{root}/known")
+
+    def arrive(self, rows):
+        self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.root}/in")
+
+    def run(self, target="out"):
+        source = stream.ad_stream(self.spark, f"{self.root}/in", self.schema, 1)
+        known = stream.ad_stream(self.spark, f"{self.root}/known", self.schema[:2]) if self.known is not None else None
+        query = stream.start_ingest(source, f"{self.root}/{target}", f"{self.root}/progress", known=known)
+        query.awaitTermination()
+        return query
+
+    def rows(self, target="out"):
+        return rows(stream.read_ingested(self.spark, f"{self.root}/{target}"), "source_id", "title")
+
+
 def test_stream_keeps_one_row_per_key(spark, tmp_path):
-    schema = "source_site string, source_id string, scraped_at int, title string"
-    source = str(tmp_path / "in")
-    data = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-    run = lambda: stream.start_ingest(
-        stream.ad_stream(spark, source, spark.createDataFrame([], schema).schema, 1), str(tmp_path / "out"), str(tmp_path / "progress")
-    ).awaitTermination()
-    data([("s", "1", 2, "later"), ("s", "1", 1, "first"), ("s", "2", 1, "x")])
-    run()
-    data([("s", "1", 0, "too late"), ("s", "3", 1, "z")])
-    run()
-    run()
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert rows(out, "source_id", "title") == [("1", "first"), ("2", "x"), ("3", "z")]
-    stream.append_new(str(tmp_path / "out"), KEY, ["scraped_at"])(spark.read.parquet(source), 0)  # a batch run again
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    box = Ingest(spark, tmp_path)
+    box.arrive([("s", "1", 2, "later"), ("s", "1", 1, "first"), ("s", "2", 1, "x"), ("s", None, 1, "no ad"), (None, "9", 1, "no ad")])
+    box.run()
+    box.arrive([("s", "1", 0, "too late"), ("s", "3", 1, "z"), ("s", "3", None, "before all")])
+    box.run()
+    box.run()
+    assert box.rows() == [("1", "first"), ("2", "x"), ("3", "before all")]
+
+
+def test_stream_never_reads_its_target(spark, tmp_path):
+    """A later run that writes elsewhere knows the keys all the same, and reads what is new only."""
+    box = Ingest(spark, tmp_path)
+    box.arrive([("s", str(i), 1, "old") for i in range(200)])
+    box.run()
+    box.arrive([("s", str(i), 1, "new") for i in range(150, 205)])
+    query = box.run("elsewhere")
+    assert box.rows("elsewhere") == [(str(i), "new") for i in range(200, 205)]
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 55
+    plan = query._jsq.explainInternal(False)
+    assert "StateStoreSave" in plan and "/out" not in plan and "/elsewhere" not in plan
+
+
+def test_stream_with_known_keys(spark, tmp_path):
+    box = Ingest(spark, tmp_path, known=[("s", "1"), ("s", "7"), ("s", None)])
+    box.arrive([("s", "1", 1, "known"), ("s", "2", 1, "x")])
+    box.run()
+    box.arrive([("s", "7", 1, "known"), ("s", "2", 0, "late"), ("s", "8", 1, "y")])
+    box.run()
+    assert box.rows() == [("2", "x"), ("8", "y")]
+
+
+def test_batch_run_again_adds_nothing(spark, tmp_path):
+    batch = spark.createDataFrame([("s", "1", "a")], "source_site string, source_id string, title string")
+    seen = batch.selectExpr("struct(*) as first", "timestamp'2024-01-01' as first_seen", "timestamp'2024-01-01' as last_seen")
+    for _ in range(2):
+        stream.write_new(str(tmp_path / "out"), "x")(seen, 3)
+    assert rows(stream.read_ingested(spark, str(tmp_path / "out")), "source_id", "title") == [("1", "a")]
+
+
+def files_of(path):
+    return {f.parent.name: f.name for f in path.rglob("*.parquet") if "staging" not in str(f)}
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    path = tmp_path / "ads"
+    old = spark.range(300).selectExpr("id", "'s' as source_site", "cast(id as string) as source_id", "'old' as title")
+    buckets.write_buckets(old, str(path), KEY, 16)
+    before = files_of(path)
+    batch = spark.createDataFrame([("s", "5", "new", 1), ("s", "900", "added", 1), ("s", "5", "newer", 2)], "source_site string, source_id string, title string, ord int")
+    touched = buckets.upsert_buckets(str(path), batch, KEY, "ord", ["title"], n_buckets=16)
+    after = files_of(path)
+    assert 1 <= len(touched) <= 2 and len(before) == 16
+    assert {b for b in before if before[b] != after[b]} == {f"key_bucket={b}" for b in touched}
+    found = dict(rows(buckets.read_buckets(spark, str(path)), "source_id", "title"))
+    assert len(found) == 301 and found["5"] == "newer" and found["900"] == "added" and found["6"] == "old"
+    buckets.upsert_buckets(str(path), batch, KEY, "ord", ["title"], n_buckets=16)  # a batch run again
+    assert dict(rows(buckets.read_buckets(spark, str(path)), "source_id", "title")) == found
+    assert buckets.upsert_buckets(str(path), batch.limit(0), KEY, "ord", ["title"], n_buckets=16) == []
+
+
+def test_upsert_that_dies_leaves_the_table(spark, tmp_path):
+    """A task that fails, and files that were written but never published."""
+    path = tmp_path / "ads"
+    old = spark.range(100).selectExpr("id", "'s' as source_site", "cast(id as string) as source_id", "'old' as title")
+    buckets.write_buckets(old, str(path), KEY, 4)
+    before = files_of(path)
+    bad = old.select("source_site", "source_id", F.when(F.col("id") == 77, F.raise_error("lost")).otherwise("new").alias("title"), F.col("id").alias("ord"))
+    with pytest.raises(Exception, match="lost"):
+        buckets.upsert_buckets(str(path), bad, KEY, "ord", ["title"], n_buckets=4)
+    staged = path / ".spark-staging-1" / "key_bucket=1"
+    staged.mkdir(parents=True)
+    (staged / "part-0.parquet").write_bytes((next(path.rglob("key_bucket=1/*.parquet"))).read_bytes())
+    assert files_of(path) == before
+    assert rows(buckets.read_buckets(spark, str(path)), "source_id", "title") == sorted((str(i), "old") for i in range(100))
+
+
+def test_upsert_into_a_new_table(spark, tmp_path, batch, target):
+    path = str(tmp_path / "ads")
+    buckets.upsert_buckets(path, batch, KEY, "ord", ["title", "price"], n_buckets=4, columns=target)
+    assert rows(buckets.read_buckets(spark, path), "source_id", "title") == [("1", "new"), ("2", "y")]
 
 
 def test_numbered_files(spark):

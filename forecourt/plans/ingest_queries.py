@@ -260,16 +260,17 @@ def upsert_buckets(spark, sf_dir):
 
 @query(f"""with o as ({O_SQL}), b as (select source_site, source_id, arg_max(title, ord) as raw_title, max(ord) as last_scraped_at, arg_min(price, ord) as price,
   cast(source_id as bigint) % 2 = 0 as old, {LATE_ORDERS} as given from o group by source_site, source_id)
-select source_site, source_id, case when given then raw_title else 'old' end as raw_title, case when given then last_scraped_at else 0 end as last_scraped_at,
+select source_site, source_id, case when given then raw_title else 'old' end as raw_title, case when given then last_scraped_at else 0 end as last_scraped_at, case when given then 'order ' || last_scraped_at else '{{}}' end as raw_data,
   case when old then 'known' else cast(price as string) end as source_url, not old as is_active from b where old or given""")
 def ad_update_buckets(spark, sf_dir):
     """Stored auction ads after a batch of known and new ones."""
     ads = _order_ads(spark, sf_dir).select(
         "source_site", "source_id", F.col("title").alias("raw_title"), F.col("ord").alias("last_scraped_at"), F.col("price").cast("string").alias("source_url"),
+        F.concat(F.lit("order "), F.col("ord").cast("string")).alias("raw_data"),
     )
     known = _known(_order_ads(spark, sf_dir)).select(
         "id", "source_site", "source_id", F.lit("known").alias("source_url"), F.lit("old").alias("raw_title"),
-        F.lit(0).cast("bigint").alias("last_scraped_at"), F.lit(False).alias("is_active"),
+        F.lit(0).cast("bigint").alias("last_scraped_at"), F.lit(False).alias("is_active"), F.lit("{}").alias("raw_data"),
     )
     path = _bucketed(spark, known, ingest.AD_KEY)
     batch = ads.filter(LATE_ORDERS).withColumn("is_active", F.lit(True))

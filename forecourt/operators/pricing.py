@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from forecourt.functions import fixed
-from forecourt.operators.listings import priced
+from forecourt.operators.listings import feature_columns, priced
 from forecourt.operators.ranks import MAX_SORTED, exact_medians
 from forecourt.operators.split import train_val_split
+from forecourt.session import ship_package
+from forecourt.sources.tables import path_exists
 
 MIN_TRAINING_ADS = 10
 FEATURES = fixed.NUMERIC_FEATURES + fixed.CATEGORY_FEATURES
@@ -40,20 +48,27 @@ def prepare_training_data(ads: DataFrame, max_sorted: int = MAX_SORTED) -> DataF
     return fill_features(rows, feature_medians(rows, max_sorted))
 
 
-def price_pipeline(trees: int = 100, depth: int = 10, seed: int = 42) -> Pipeline:
-    """Alphabetic label codes, standard scaling and a random forest.
-
-    Codes are plain numbers to the forest, as scaled features carry no category information. Every split
-    looks at all features.
-    """
+def encoding_stages() -> list:
+    """Alphabetic label codes (unknown words take the number after the last), and standard scaling."""
     indexed = [f"i_{c}" for c in fixed.CATEGORY_FEATURES]
-    return Pipeline(stages=[
+    return [
         StringIndexer(
             inputCols=[f"f_{c}" for c in fixed.CATEGORY_FEATURES], outputCols=indexed,
             stringOrderType="alphabetAsc", handleInvalid="keep",
         ),
         VectorAssembler(inputCols=[f"f_{c}" for c in fixed.NUMERIC_FEATURES] + indexed, outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+    ]
+
+
+def price_pipeline(trees: int = 100, depth: int = 10, seed: int = 42) -> Pipeline:
+    """Codes, scaling and a random forest.
+
+    Codes are plain numbers to the forest, as scaled features carry no category information. Every split
+    looks at all features.
+    """
+    return Pipeline(stages=[
+        *encoding_stages(),
         RandomForestRegressor(
             featuresCol="features", labelCol="price", predictionCol="predicted_price",
             numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all", maxBins=128,
@@ -147,3 +162,103 @@ def model_info(spark: SparkSession, trained: TrainedPriceModel | PipelineModel |
         [(trained is not None, "ready" if trained is not None else "needs_training", FEATURES, "RandomForestRegressor", path)],
         "is_trained boolean, status string, feature_columns array<string>, model_type string, model_path string",
     )
+
+
+# --- The forest as a table, and what it says of rows whose features are columns. ---
+NODES = "tree int, node int, feature int, threshold double, left int, right int, value double"
+
+
+def forest_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """A saved model's forest, a row a node: feature and threshold of a branch (at most: left, else right), value of a leaf.
+
+    Node 0 is a tree's root. A forest has at most trees * 2^(depth + 1) rows.
+    """
+    saved = spark.read.parquet(f"{path}/stages/*_RandomForestRegressor_*/data").select("treeID", "nodeData.*")
+    branch = F.col("leftChild") >= 0
+    return saved.select(
+        F.col("treeID").alias("tree"), F.col("id").alias("node"), F.when(branch, F.col("split.featureIndex")).alias("feature"),
+        F.when(branch, F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"), F.when(branch, F.col("leftChild")).alias("left"),
+        F.when(branch, F.col("rightChild")).alias("right"), F.when(~branch, F.col("prediction")).alias("value"),
+    )
+
+
+def _scores(forest: dict[str, np.ndarray], features: str, out: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(features)
+            x = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            # Every row stands at a node of every tree; all take a step down at once until all are at leaves.
+            at = np.broadcast_to(forest["roots"], (batch.num_rows, len(forest["roots"])))
+            while (branch := forest["left"][at] >= 0).any():
+                value = np.take_along_axis(x, np.maximum(forest["feature"][at], 0), axis=1)
+                down = np.where(value <= forest["threshold"][at], forest["left"][at], forest["right"][at])
+                at = np.where(branch, down, at)
+            kept = [batch.column(c) for c in batch.schema.names if c != features]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(forest["value"][at].mean(axis=1))], names=out)
+
+    return run
+
+
+def score_forest(rows: DataFrame, nodes: DataFrame, features: str = "features", name: str = "predicted_price") -> DataFrame:
+    """Rows with the mean of all trees' leaf values; ``features`` is an array of numbers without gaps and leaves.
+
+    ``nodes`` are those of ``forest_nodes``; a forest fits every task, being bounded by its trees and their depth.
+    """
+    ship_package(rows.sparkSession)
+    found = nodes.orderBy("tree", "node").toArrow()
+    columns = {c: found.column(c).to_numpy() for c in found.column_names}
+    key = columns["tree"].astype(np.int64) << 32 | columns["node"]
+    whole = lambda c: np.nan_to_num(columns[c].astype(float), nan=-1).astype(np.int64)
+
+    def place(child: np.ndarray) -> np.ndarray:
+        return np.where(child < 0, -1, np.searchsorted(key, (columns["tree"].astype(np.int64) << 32) | np.maximum(child, 0)))
+
+    forest = {
+        "roots": np.flatnonzero(columns["node"] == 0), "feature": whole("feature"), "left": place(whole("left")), "right": place(whole("right")),
+        "threshold": columns["threshold"].astype(float), "value": columns["value"].astype(float),
+    }
+    schema = StructType([*[f for f in rows.schema.fields if f.name != features], StructField(name, DoubleType())])
+    return rows.mapInArrow(_scores(forest, features, schema.names), schema)
+
+
+def encoded(model: PipelineModel, prepared: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Codes of the words and scaled features, as the forest sees them."""
+    rows = prepared
+    for stage in model.stages[: len(encoding_stages())]:
+        rows = stage.transform(rows)
+    return rows.select(*keep, *[f"i_{c}" for c in fixed.CATEGORY_FEATURES], vector_to_array("features").alias("features"))
+
+
+def quality(scored: DataFrame, label: str = "price", predicted: str = "predicted_price") -> DataFrame:
+    """One row: number of rows, mean absolute error, and the share of the variance that is explained."""
+    error = F.col(label) - F.col(predicted)
+    out = scored.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(error)).alias("mae"), F.sum(error * error).alias("left"), F.var_pop(label).alias("spread")
+    )
+    return out.select("n", "mae", (1 - F.col("left") / (F.col("spread") * F.col("n"))).alias("r2_score"))
+
+
+def fingerprint(ads: DataFrame, *settings: object) -> str:
+    """A name for a training set and its settings: equal rows in any order give the same one."""
+    row = ads.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*ads.columns).cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), *ads.columns))).first()
+    digest = "-".join(str(v) for v in (*row, *settings))
+    return hashlib.md5(digest.encode()).hexdigest()[:16]
+
+
+def trained_model(ads: DataFrame, root: str, key: str = "id", trees: int = 100, depth: int = 10, seed: int = 42) -> str:
+    """Path of the saved model of these ads, fitted where there is none yet. The training rows are read each time: a model
+    is found by what they are, so it never outlives them. Its report is written last and marks it as complete."""
+    spark = ads.sparkSession
+    rows = feature_columns(priced(ads), (key,))
+    path = f"{root}/price-model-{fingerprint(rows, trees, depth, seed)}"
+    if not path_exists(spark, f"{path}/report/_SUCCESS"):
+        model = train_price_model(rows, key, trees, depth, seed)
+        save_model(model.model, f"{path}/model")
+        model.report(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/report")
+    return path
+
+
+def saved_info(spark: SparkSession, path: str) -> DataFrame:
+    """``model_info`` of what is saved at a path."""
+    there = path_exists(spark, f"{path}/model/metadata")
+    return model_info(spark, load_model(f"{path}/model") if there else None, path)

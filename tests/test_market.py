@@ -80,6 +80,46 @@ def test_split_sizes(spark, n, ratio):
     assert sum(s == "train" for s in split[1].values()) == int(n * ratio)
 
 
+NODE_WALK = """with recursive walk as (select r.id, r.features, n.tree, n.feature, n.threshold, n."left", n."right", n.value from rows r, nodes n where n.node = 0
+  union all select w.id, w.features, n.tree, n.feature, n.threshold, n."left", n."right", n.value from walk w join nodes n on w.value is null and n.tree = w.tree
+    and n.node = case when w.features[w.feature + 1] <= w.threshold then w."left" else w."right" end)
+select id, avg(value) from walk where value is not null group by id"""
+
+
+def test_forest_as_a_table(spark, tmp_path):
+    """A fitted and saved forest, read back as rows, says what the model says: by the table here and by plain SQL."""
+    import duckdb
+
+    ads = spark.range(400).selectExpr(
+        "id", "cast(id as string) as source_id", "1000.0 + id * 7 % 5000 + (id % 13) * 300 as price", "cast(2000 + id % 20 as int) as year", "cast(id * 977 % 90000 as int) as mileage",
+        "cast(100 + id % 50 as int) as engine_power", "1.0 + id % 4 as engine_displacement", "if(id % 3 = 0, 'a', 'b') as fuel_type", "'m' as transmission",
+        "if(id % 9 = 0, null, 'x') as body_type", "'c' as color", "'d' as dealer_type",
+    )
+    path = pricing.trained_model(ads, str(tmp_path), trees=12, depth=6)
+    assert pricing.trained_model(ads.repartition(3), str(tmp_path), trees=12, depth=6) == path  # equal rows: the same model, not fitted again
+    assert pricing.trained_model(ads.limit(399), str(tmp_path), trees=3, depth=2) != path
+    model = pricing.load_model(f"{path}/model")
+    rows = pricing.encoded(model, pricing.prepare_training_data(ads), ("id",)).cache()
+    nodes = pricing.forest_nodes(spark, f"{path}/model").cache()
+    assert nodes.select("tree").distinct().count() == 12 and nodes.filter("value is null and left is null").isEmpty()
+    want = {r.id: r.predicted_price for r in model.transform(pricing.prepare_training_data(ads)).select("id", "predicted_price").collect()}
+    got = {r.id: r.predicted_price for r in pricing.score_forest(rows.select("id", "features"), nodes).collect()}
+    db = duckdb.connect()
+    db.register("rows", rows.select("id", "features").toArrow())
+    db.register("nodes", nodes.toArrow())
+    plain = dict(db.execute(NODE_WALK).fetchall())
+    assert len(want) == 400 and got == pytest.approx(want) and plain == pytest.approx(want)
+    scored = ads.join(spark.createDataFrame(list(want.items()), "id long, predicted_price double"), "id")
+    row = pricing.quality(scored).first()
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    for name, value in (("mae", row.mae), ("r2", row.r2_score)):
+        assert value == pytest.approx(RegressionEvaluator(labelCol="price", predictionCol="predicted_price", metricName=name).evaluate(scored))
+    info = pricing.saved_info(spark, path).first()
+    assert (info.is_trained, info.status, info.model_path) == (True, "ready", path)
+    assert pricing.saved_info(spark, f"{path}/nothing").first().status == "needs_training"
+
+
 def test_price_model(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i, f"s{i}", 90000.0 - 2000 * (i % 20) + rng.random(), 2024 - i % 20, 1000 * (i % 50), None, 3.0, "Petrol",

@@ -157,6 +157,16 @@ def anomaly_report(spark, sf_dir):
     return _shown(_ads_report(spark, sf_dir))
 
 
+SAMPLE = f"(select * from ({ads_sql(*AD_FIELDS)}) a where is_active order by id, price limit 50)"
+SAMPLE_REPORT = _report_sql(f"select * from {SAMPLE} s", REF_YEAR, IMAGES_SQL.format(and_no_files="and not is_processed"), False)
+
+
+@query(f"{SAMPLE_REPORT} {REPORT_COLUMNS}")
+def anomaly_report_sample(spark, sf_dir):
+    """The report over the first fifty active ads, as it is by default."""
+    return _shown(anomalies.anomaly_report(full_ads(spark, sf_dir), tie_break=("price",), ref_year=REF_YEAR))
+
+
 @query(f"{DOCS_REPORT} {REPORT_COLUMNS}")
 def anomaly_report_documents(spark, sf_dir):
     return _shown(_documents_report(spark, sf_dir))

@@ -167,6 +167,28 @@ def listing_texts_sql() -> str:
     return LISTING_TEXTS.format(lineitem="lineitem", orders="orders", part="part") + " t"
 
 
+# --- Texts of the older site: an ad number, a title line, dealers and private sellers, years around the first one read. ---
+SITE_TEXTS = f"""
+select {LINE_ID} as id, concat(case when l_linenumber % 2 = 0 then concat('Обява ', cast(10000000 + l_orderkey as string), '\n') else 'Обява\n' end,
+  case when l_linenumber % 3 = 0 then '' when p_size % 5 = 0 then concat('BMW M5 ', p_name, repeat(' още', 60), '\n') else concat('  BMW M5 ', p_name, ' \n') end,
+  'Цена ', cast(cast(floor(l_extendedprice) as bigint) as string), ' ', case l_suppkey % 3 when 0 then '€' when 1 then 'лв' else '$' end, '\n',
+  'Дата ', cast(2016 + p_size % 9 as string), ' г.\nПробег ', cast(cast(l_quantity * 900 as int) as string), ' км\n',
+  cast(100 + p_size * 10 as string), ' к.с. ', cast(1000 + p_size * 100 as string), ' куб.см\n',
+  case l_suppkey % 4 when 0 then concat('Дилър: Салон ', cast(l_suppkey as string), ', внос') when 1 then 'частно лице' when 2 then concat('Автокъща: Дом ', cast(l_suppkey as string)) else 'няма' end, '\n',
+  case when p_size % 2 = 0 then 'гр. София, център' else 'Варна' end, '\n',
+  case l_returnflag when 'A' then 'дизел' when 'N' then 'Хибрид' else 'Бензинов' end, ' ', case l_linestatus when 'O' then 'Автоматична' else 'Ръчна' end, ' ',
+  case when p_size % 3 = 0 then 'Седан ЧЕРЕН' when p_size % 3 = 1 then 'Кабрио Бял' else 'друг' end) as text
+from {{lineitem}} join {{part}} on l_partkey = p_partkey"""
+
+
+def site_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SITE_TEXTS, lineitem=wide_table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"))
+
+
+def site_texts_sql() -> str:
+    return SITE_TEXTS.replace("\n", "' || chr(10) || '").format(lineitem="lineitem", part="part")
+
+
 # --- Specification values formatted from part columns. Same text in both dialects. ---
 SPEC_TEXTS = """
 select p_partkey as page_id, 0 as block_idx, 'specs' as category, ord, key, raw_text from (

@@ -127,10 +127,11 @@ def orphan_images(spark, sf_dir):
     return media.orphan_images(files, _media_ads(spark, sf_dir))
 
 
-@query("""select c_custkey as ad_id, c_name as source_id from customer where c_custkey not in (select o_custkey from orders)""")
+@query("""select c_custkey as ad_id, c_name as source_id from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 13 = 0)""")
 def orphan_links(spark, sf_dir):
     links = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ad_id"), F.col("c_name").alias("source_id"))
-    return media.orphan_links(links, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
+    ads = table(spark, sf_dir, "orders").filter("o_orderkey % 13 = 0")  # the others are gone
+    return media.orphan_links(links, ads.select(F.col("o_custkey").alias("id")))
 
 
 @query("""with d as (select o_custkey as id, o_orderkey as position, 'p' || o_orderkey || '.jpg' as path,

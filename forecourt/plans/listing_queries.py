@@ -152,3 +152,29 @@ def powerful_versions(spark, sf_dir):
 def unit_system(spark, sf_dir):
     specs = spark.sql(UNIT_SPECS, part=table(spark, sf_dir, "part"))
     return listings.in_unit_system(specs, F.col("metric")).select("version_id", "power", "torque", "length")
+
+
+FEATURES = ("id", "price", "year", "mileage", "engine_power", "engine_displacement", "fuel_type", "transmission", "body_type", "color", "dealer_type")
+
+
+@query(f"""select id, year, mileage, engine_power, engine_displacement, fuel_type, transmission, body_type, color, dealer_type, price
+from (select a.*, row_number() over (order by id, price) as n from ({ads_sql(*FEATURES, "is_active")}) a where is_active) x where n <= 100""")
+def feature_sample(spark, sf_dir):
+    """What the price model reads of the first hundred active ads."""
+    ads = ads_view(spark, sf_dir, *FEATURES, "is_active")
+    return listings.feature_columns(listings.sample_active(ads, 100, ("price",)), ("id",))
+
+
+@query(f"""select id, source_id, year, make, model, price, mileage, dealer_name, dealer_type, title,
+  case when image_count % 3 = 0 then 0 else least(image_count, 2) end as n_urls, 0 as n_paths, case when mileage % 2 = 0 then '{{}}' else title end as raw_data
+from ({ads_sql("id", "source_id", "year", "make", "model", "price", "mileage", "dealer_name", "dealer_type", "title", "image_count")}) a""")
+def anomaly_inputs(spark, sf_dir):
+    """What the anomaly rules read; missing addresses, paths and payloads become empty."""
+    ads = ads_view(spark, sf_dir, "id", "source_id", "year", "make", "model", "price", "mileage", "dealer_name", "dealer_type", "title", "image_count")
+    numbers = F.sequence(F.lit(1), F.least("image_count", F.lit(2))).cast("array<string>")
+    gaps = ads.withColumns({
+        "image_urls": F.when(F.col("image_count") % 3 != 0, numbers), "local_image_paths": F.lit(None).cast("array<string>"),
+        "raw_data": F.when(F.col("mileage") % 2 != 0, F.col("title")),
+    })
+    rows = listings.anomaly_columns(gaps)
+    return rows.withColumns({"n_urls": F.size("image_urls"), "n_paths": F.size("local_image_paths")}).drop("image_urls", "local_image_paths")

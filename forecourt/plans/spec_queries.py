@@ -197,13 +197,21 @@ def catalog_images(spark, sf_dir):
     return catalog.versions_with_images(loaded).select("brand", "model", "gen_name", "version_name", "image_url", "caption")
 
 
-@query("""select p_partkey as page_id, cast(10 as int) as n_specs, 'Big screen|' || p_name || ' seats|Cruise control' as features,
-  cast(1 as int) as n_images, 'apple carplay' as infotainment from part""")
+@query("""with rows as (select p_partkey as page_id, p_name, p_size, b, replace(p_name, ' ', '_') || '_performance_specs' as first_category, lower(p_type) || '_sport' as second_category from part, (values (0), (1), (2), (3)) v(b)),
+lines as (select page_id, b, unnest(case when b < 2 then [
+    'power=' || (60 + p_size) || ' KW @ 6000 RPM' || chr(10) || (80 + p_size) || ' HP @ 6000 RPM', 'top_speed=' || (180 + p_size) || ' km/h', 'displacement=' || (1000 + p_size * 50) || ' cm3'] else [
+    'power=' || (160 + p_size) || ' HP @ 6500 RPM', 'unladen_weight=' || (2000 + p_size) || ' lbs (' || (1000 + p_size) || ' kg)'] end) as line,
+  generate_subscripts(case when b < 2 then [1, 2, 3] else [1, 2] end, 1) as n from rows)
+select p.p_partkey as page_id, (select string_agg(b || ' ' || line, '|' order by b, n) from lines l where l.page_id = p.p_partkey) as specs,
+  'Big screen|' || p_name || ' seats|Cruise control' as features, '/p/' || p_partkey || '.jpg = BMW ' || p_name as gallery, 'apple carplay' as infotainment from part p""")
 def page_bundle(spark, sf_dir):
+    """Specifications, features, pictures and labels of every page, in full."""
     out = catalog.page_bundle(cut_lineage(pages.elements(spec_pages(spark, sf_dir), pages.BRIEF_TAGS)))
+    line = lambda x: F.concat(x["block_idx"].cast("string"), F.lit(" "), x["key"], F.lit("="), x["raw_text"])
+    shown = lambda x: F.concat(F.regexp_replace(x["url"], "^https?://[^/]*", ""), F.lit(" = "), x["caption"])
     return out.select(
-        "page_id", F.size("specs").alias("n_specs"), F.array_join("highlight_features", "|").alias("features"),
-        F.size("gallery_images").alias("n_images"), F.array_join("infotainment", "|").alias("infotainment"),
+        "page_id", F.array_join(F.transform("specs", line), "|").alias("specs"), F.array_join("highlight_features", "|").alias("features"),
+        F.array_join(F.transform("gallery_images", shown), "|").alias("gallery"), F.array_join("infotainment", "|").alias("infotainment"),
     )
 
 

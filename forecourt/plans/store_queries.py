@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from forecourt.functions import fixed
-from forecourt.operators import catalog, dedup, images, listings, media
+from forecourt.operators import catalog, configured, dedup, images, listings, media
 from forecourt.operators.split import train_val_split
 from forecourt.plans.bindings import ads_sql, ads_view, embedding_images, spec_pages, table
 from forecourt.plans.dedup_queries import SPLIT
@@ -114,13 +114,28 @@ def scrape_configs(spark, sf_dir):
 where price >= r_regionkey * 10000 and price <= r_regionkey * 10000 + 30000 and year >= r_regionkey + 1993 and not (contains(title, 'old') or contains(title, 'bolt'))""")
 def configured_listings(spark, sf_dir):
     """Listings that pass the filters of each configuration file."""
-    out = None
-    for c in _config_files(spark, sf_dir).where("enabled").collect():  # one row a configuration file
-        ads = ads_view(spark, sf_dir, "id", "title", "price", "year")
-        passed = listings.matches_config(ads, c.min_price, c.max_price, tuple(c.exclude_keywords), c.year_from)
-        passed = passed.select(F.lit(c.job).alias("job"), "id", "title", "price", "year")
-        out = passed if out is None else out.unionByName(passed)
-    return out
+    ads = ads_view(spark, sf_dir, "id", "title", "price", "year")
+    return configured.configured(ads, _config_files(spark, sf_dir).where("enabled"))
+
+
+CONFIGS = """select concat('c', cast(c_custkey as string)) as job, case when c_custkey % 7 = 0 then null else abs(c_acctbal) * 9 end as min_price,
+  case when c_custkey % 5 = 0 then null else abs(c_acctbal) * 9 + 500 + c_custkey % 900 end as max_price,
+  case when c_custkey % 3 = 0 then null else cast(1992 + c_custkey % 6 as int) end as year_from, case when c_custkey % 4 = 0 then null else cast(1994 + c_custkey % 6 as int) end as year_to,
+  case c_custkey % 4 when 0 then 'old' when 1 then 'Bolt' when 2 then 'GEAR' end as word from {customer}"""
+
+
+@query(f"""with ads as ({ads_sql("id", "title", "price", "year")}), configs as ({CONFIGS.format(customer="customer")})
+select job, count(*) as n, min(id) as first_id, max(id) as last_id, round(sum(price), 2) as total from ads join configs
+on (min_price is null or price >= min_price) and (max_price is null or price <= max_price) and (year_from is null or year >= year_from) and (year_to is null or year <= year_to)
+  and (word is null or not contains(lower(title), lower(word))) group by job""")
+def many_configured_listings(spark, sf_dir):
+    """What a configuration for each customer finds, in one plan."""
+    configs = spark.sql(CONFIGS, customer=table(spark, sf_dir, "customer"))
+    configs = configs.withColumn("exclude_keywords", F.when(F.col("word").isNotNull(), F.array("word")))
+    found = configured.configured(ads_view(spark, sf_dir, "id", "title", "price", "year"), configs)
+    return found.groupBy("job").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.round(F.sum("price"), 2).alias("total")
+    )
 
 
 @query(f"""{LOADED} select distinct brand, model, gen_name, version_name from v""")

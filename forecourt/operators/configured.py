@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forecourt.operators.once import once
+
 LEVELS = 10  # 2^10 narrowest bins
 BROADCAST_BINS = 200_000  # some ten megabytes
 SPREAD = 32
@@ -69,4 +71,4 @@ def configured(ads: DataFrame, configs: DataFrame, text_column: str = "title", b
     else:
         spread = placed.withColumn("part", F.pmod(F.xxhash64(*ads.columns), F.lit(SPREAD)).cast("int"))
         met = spread.join(given.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["bin", "part"])
-    return met.filter(passes(text_column)).select("job", *ads.columns)
+    return once(met, "__passes", passes(text_column)).filter("__passes").select("job", *ads.columns)

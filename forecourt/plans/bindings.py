@@ -315,9 +315,13 @@ hashes as (select x.doc_id, md5(text) as file_hash, phash, cast(('0x' || phash)
 
 # --- Small pictures from embedding vectors: as square as may be, each value a byte of three pixels. ---
 def embedding_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pictures_of(table(spark, sf_dir, "embeddings"))
+
+
+def pictures_of(vectors: DataFrame) -> DataFrame:
     """Vectors as BGR pictures: value -1..1 becomes 0..255, one to a pixel's blue, those 21 and 42 on its green and red."""
     byte = lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.round((x.cast("double") + 1) * 127.5).cast("int")))), 2, "0")
-    rows = table(spark, sf_dir, "embeddings").withColumn("bytes", F.transform("embedding", byte)).withColumn("n", F.size("embedding"))
+    rows = vectors.withColumn("bytes", F.transform("embedding", byte)).withColumn("n", F.size("embedding"))
     width = F.ceil(F.sqrt("n")).cast("int")
     height = F.ceil(F.col("n") / width).cast("int")
     at = lambda i: F.get("bytes", (i % F.col("n")).cast("int"))
@@ -328,3 +332,20 @@ def embedding_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+# --- Large pictures of two plain colours, one above the other, one picture a supplier. Colours by number: name, red, green, blue. ---
+PLAIN_COLORS = [("black", 20, 20, 20), ("white", 250, 250, 250), ("red", 200, 20, 20), ("blue", 20, 40, 200), ("green", 20, 200, 40), ("yellow", 220, 200, 20)]
+PLAIN_HEIGHT, PLAIN_WIDTH = 360, 400
+
+
+def plain_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, height, width, nChannels, data: 5 to 355 of 360 lines in the first colour, the others in the second."""
+    codes = F.array(*[F.lit(f"{b:02X}{g:02X}{r:02X}") for _, r, g, b in PLAIN_COLORS])
+    n, height = len(PLAIN_COLORS), F.lit(PLAIN_HEIGHT)
+    rows = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".png")).alias("name"), (5 + 5 * (F.col("s_suppkey") % 71)).cast("int").alias("lines"),
+        F.get(codes, (F.col("s_suppkey") % n).cast("int")).alias("upper"), F.get(codes, (F.col("s_nationkey") % n).cast("int")).alias("lower"),
+    )
+    hexes = F.concat(F.repeat("upper", F.col("lines") * PLAIN_WIDTH), F.repeat("lower", (height - F.col("lines")) * PLAIN_WIDTH))
+    return rows.select("name", height.alias("height"), F.lit(PLAIN_WIDTH).alias("width"), F.lit(3).alias("nChannels"), F.unhex(hexes).alias("data"))

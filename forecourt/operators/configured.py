@@ -46,14 +46,12 @@ def cover_of(low: Column, high: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at))
 
 
-def passes(text_column: str = "title") -> Column:
-    """The filter block of a configuration; unset bounds are open, a listing without the value passes only those."""
+def within() -> Column:
+    """The bounds of a configuration; unset ones are open, a listing without the value passes only those."""
     inside = F.lit(True)
     for column, low, high in (("price", "min_price", "max_price"), ("year", "year_from", "year_to")):
         inside = inside & (F.col(low).isNull() | (F.col(column) >= F.col(low))) & (F.col(high).isNull() | (F.col(column) <= F.col(high)))
-    text = F.lower(F.coalesce(text_column, F.lit("")))
-    named = F.exists(F.coalesce("exclude_keywords", F.array().cast("array<string>")), lambda k: F.contains(text, F.lower(k)))
-    return F.coalesce(inside, F.lit(False)) & ~F.coalesce(named, F.lit(False))
+    return F.coalesce(inside, F.lit(False))
 
 
 def configured(ads: DataFrame, configs: DataFrame, text_column: str = "title", broadcast_bins: int = BROADCAST_BINS) -> DataFrame:
@@ -63,12 +61,14 @@ def configured(ads: DataFrame, configs: DataFrame, text_column: str = "title", b
     configurations are sent to the listings; many meet them bin by bin, where a bin with many listings is dealt to
     several tasks.
     """
-    given = configs.select("job", "min_price", "max_price", "year_from", "year_to", "exclude_keywords", F.explode(cover_of(F.col("min_price"), F.col("max_price"))).alias("bin"))
-    placed = ads.withColumn("bin", F.explode(bins_of(F.col("price").cast("double"))))
+    words = F.transform(F.array_compact(F.coalesce("exclude_keywords", F.array().cast("array<string>"))), lambda k: F.lower(k))
+    given = configs.select("job", "min_price", "max_price", "year_from", "year_to", words.alias("__words"), F.explode(cover_of(F.col("min_price"), F.col("max_price"))).alias("bin"))
+    placed = ads.withColumn("__text", F.lower(F.coalesce(text_column, F.lit("")))).withColumn("bin", F.explode(bins_of(F.col("price").cast("double"))))
     bins = given.limit(broadcast_bins + 1).count()
     if bins <= broadcast_bins:
         met = placed.join(F.broadcast(given), "bin")
     else:
         spread = placed.withColumn("part", F.pmod(F.xxhash64(*ads.columns), F.lit(SPREAD)).cast("int"))
         met = spread.join(given.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["bin", "part"])
-    return once(met, "__passes", passes(text_column)).filter("__passes").select("job", *ads.columns)
+    named = F.exists("__words", lambda k: F.contains(F.col("__text"), k))
+    return once(met.filter(within()), "__named", named).filter("not __named").select("job", *ads.columns)

@@ -10,6 +10,14 @@ from forecourt.plans import registry
 registry.load_all()
 
 
+# Raw pages need a parser and a fitted forest its library: what they do is held against brute force in test_intervals.py,
+# test_text.py and test_market.py, and against SQL on pages and forests that follow from tables.
+WITHOUT_SQL = {
+    "page_elements", "page_top_containers", "page_listings", "page_site_listings", "page_fallback_listings",
+    "price_model_train", "price_model_predict", "good_deals",
+}
+
+
 def plain(value):
     if value is None:
         return "null"
@@ -24,7 +32,7 @@ def test_query(spark, oracle, name):
     columns = sorted(df.columns)
     rows = df.collect()
     if name not in registry.ORACLES:
-        assert columns and rows is not None
+        assert name in WITHOUT_SQL and columns and rows
         return
     relation = oracle.execute(registry.ORACLES[name])
     names = [c[0] for c in relation.description]

@@ -42,6 +42,7 @@ from forecourt.llm.words import row_of, slices, text_bytes
 MAX_SENT = 4 << 20  # pairs, at 12 bytes, that each worker holds
 GATHERED = 1 << 21  # pairs that a task holds before it hands their counts on
 SLICE = 2 << 20
+KEPT, KEPT_CHARS = 300_000, 8 << 20  # parts of texts whose ids a process remembers, besides those of one batch
 ASKED = 4_000  # parts that make one text for the library
 PARTS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+").findall
 OTHER_WHITE = re.compile(r"[^\S \t-\r]").search
@@ -108,27 +109,39 @@ class Tokenizers:
         self.sizes = (len(self.a_entries.lengths), len(self.b_entries.lengths))
         self.digits, self.shown = _decimals(max(self.sizes))
         self.width = self.shown.sum(axis=1)
+        # Parts of texts seen so far: their number, and where their ids lie.
+        self.held, self.place = 0, dict[str, int]()
+        self.ids, self.begins, self.ends = np.zeros((3, 0), np.int64)
 
     def a_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A's ids of space+text of all texts, and how many each has.
 
-        No pre-token reaches from a sign to the white space behind it, so texts fall into parts that begin there, and a
-        batch's distinct parts, one after the other, are one text to the library. Parts that end in white space, or hold
-        other white space than ASCII's, are asked for alone."""
+        No pre-token reaches from a sign to the white space behind it, so texts fall into parts that begin there, and
+        the new parts of a batch, one after the other, are one text to the library. Parts that end in white space, or hold
+        other white space than ASCII's, are asked for alone. Parts are remembered until they are ``KEPT`` or hold
+        ``KEPT_CHARS``."""
         parts = [[" " + t] if OTHER_WHITE(t) else PARTS(" " + t) for t in texts]
+        if len(self.place) > KEPT or self.held > KEPT_CHARS:
+            self.held, self.place = 0, {}
+            self.ids, self.begins, self.ends = np.zeros((3, 0), np.int64)
         apart = {p[-1] for p in parts if len(p) == 1 or p[-1][-1].isspace()}
-        joint, single = list(set(chain.from_iterable(parts)) - apart), list(apart)
+        new = set(chain.from_iterable(parts)).difference(self.place)
+        joint, single = list(new - apart), list(new & apart)
         asked = ["".join(joint[i : i + ASKED]) for i in range(0, len(joint), ASKED)] + single
         answers = [e.ids for e in self.a.encode_batch_fast(asked, add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(answers), np.int64, sum(map(len, answers)))
         ordered = joint + single
+        self.held += sum(map(len, ordered))
         ends = np.searchsorted(np.cumsum(self.a_entries.lengths[ids]), np.cumsum([len(p.encode()) for p in ordered])) + 1
-        place = dict(zip(ordered, range(len(ordered)), strict=True))
-        begins = np.append(0, ends[:-1])
-        which = np.fromiter(map(place.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
-        size = (ends - begins)[which]
+        self.place.update(zip(ordered, range(len(self.place), len(self.place) + len(ordered)), strict=True))
+        self.begins = np.concatenate([self.begins, len(self.ids) + np.append(0, ends)[: len(ends)]])
+        self.ends = np.concatenate([self.ends, len(self.ids) + ends])
+        self.ids = np.concatenate([self.ids, ids])
+        which = np.fromiter(map(self.place.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        begins = self.begins[which]
+        size = self.ends[which] - begins
         of_parts = np.append(0, np.cumsum(size))
-        flat = ids[np.arange(of_parts[-1]) + np.repeat(begins[which] - of_parts[:-1], size)]
+        flat = self.ids[np.arange(of_parts[-1]) + np.repeat(begins - of_parts[:-1], size)]
         return flat, np.diff(of_parts[np.cumsum([0, *map(len, parts)])])
 
     def b_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

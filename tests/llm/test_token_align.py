@@ -99,9 +99,22 @@ def test_parts_of_texts(monkeypatch):
         monkeypatch.setattr(token_align, "ASKED", size)
         ids, counts = t.a_ids(texts)
         cuts = [0, *counts.cumsum().tolist()]
+        t.place.clear()  # the next size asks anew
+        t.ids, t.begins, t.ends = t.ids[:0], t.begins[:0], t.ends[:0]
         assert [ids[i:j].tolist() for i, j in zip(cuts, cuts[1:], strict=False)] == want
 
 
+@pytest.mark.parametrize("kept", [0, 5, 300_000])
+def test_parts_are_remembered(monkeypatch, kept):
+    monkeypatch.setattr(token_align, "KEPT", kept)
+    t = token_align.Tokenizers(JSON, MODEL)
+    for texts in (["one two one", ""], ["two three  ", "one"], ["one two one", "four\u3000 five"], [], ["  ", "five six"]):
+        ids, counts = t.a_ids(texts)
+        cuts = [0, *counts.cumsum().tolist()]
+        assert [ids[i:j].tolist() for i, j in zip(cuts, cuts[1:], strict=False)] == [A.encode(" " + x, add_special_tokens=False).ids for x in texts]
+        assert len(t.place) <= kept + 8
+
+
 def test_task_hands_counts_on(spark, monkeypatch):
     """Pairs of the same document never count twice, also when a task's table is full."""
     monkeypatch.setattr(token_align, "GATHERED", 3)

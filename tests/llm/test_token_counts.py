@@ -26,7 +26,7 @@ def test_any_text(text):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "don't", "I'LL", "aaaa", "12", " ", "\n", "Straße", "ΣΑΣ", "İ", "é", "!!!", "漢字", "\xa0", "\x1c", "<|"]), max_size=12))
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "don't", "I'LL", "aaaa", "12", " ", "\n", "Straße", "ΣΑΣ", "İ", "é", "!!!", "漢字", "\xa0", "\x1c", "<|", "\u0378", "\U0002fffe", "a\u0e7fb"]), max_size=12))
 def test_pieces(parts):
     text = "".join(parts)
     assert Counter(VOCABULARY).counts([text]) == [expected(text)]

@@ -101,7 +101,7 @@ def test_stages(spark, corpus, folder):
 
 def test_queries_are_registered():
     numbers = sorted(int(q[2:].split("_")[0]) for q in QUERIES)
-    assert numbers == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
     assert corpus_pipeline.QUERIES["pipeline"] is corpus_pipeline.run
 
 

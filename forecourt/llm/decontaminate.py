@@ -1,33 +1,38 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, found by multi-index Hamming blocks.
 
-Everything here is DataFrame operations. A benchmark item of m words is looked for in windows of m words. What is found
-is verified exactly: the weight of the item's shingles that the window holds, over the weight of all of them, where
-shingles of many items weigh less. Windows come in two ways:
-
-1. *By fingerprint.* Windows are cut where a document's shingle meets an item's in its place, and get a 64-bit SimHash of
-   their words and word pairs. Fingerprints are split into four blocks of 16 bits, and the items' blocks are listed with
-   every change of up to three bits: two fingerprints at most 15 bits apart agree with one of these in some block.
-2. *By weight.* A passage copied in part or in another order can lie further apart. A document whose shingles of an item
-   weigh enough together is looked through whole: the best window starts with a shingle of the item, or is the last one.
-
-The second way misses no window that verifies, so the result is that of all windows of all documents.
+Everything here is DataFrame operations. A benchmark item of m words is looked for in windows of m words, and three
+overlapping halves of it (the first, the middle and the last) in windows of their own size, so a passage of which a
+quarter is cut off, or whose parts changed places, still shows a half that nobody touched.
+
+1. *Windows* are cut where a document's shingle meets one of a piece (an item or a half) in its place, and get a 64-bit
+   SimHash of their words and word pairs.
+2. *Candidates* come from the fingerprints alone: these are split into five blocks of 12 or 13 bits, and the pieces' blocks
+   are listed with every change of up to two bits. Two fingerprints at most 14 bits apart agree with one of these in some
+   block, so every pair within the radius is found. What lies further apart is no candidate.
+3. *Verification* is exact: of a document and an item that are candidates, the window of m words that holds most of the
+   item's shingles by weight, over the weight of all of them; shingles of many items weigh less.
 
 Words are lower-case and split at ``[\\x20\\x09-\\x0D]``; items of fewer than ``width`` words are one shingle. Null or
-empty items match nothing, null texts hold nothing. Equal items are found each; equal rows give the same hits.
+empty items match nothing, null texts hold nothing; empty tables give no rows. Texts of any length are looked through
+whole. Equal items are found each; equal rows give the same hits; of windows equally good the first is told. Other columns
+are left alone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.llm.common import cut_lineage
 
 WHITE = " \t\n\x0b\x0c\r"
-BLOCKS, BLOCK_BITS, CHANGED = 4, 16, 3
-MASKS = [x for x in range(1 << BLOCK_BITS) if x.bit_count() <= CHANGED]
-RADIUS = BLOCKS * (CHANGED + 1) - 1
+BLOCK_BITS, CHANGED = (13, 13, 13, 13, 12), 2
+MASKS = [x for x in range(1 << max(BLOCK_BITS)) if x.bit_count() <= CHANGED]
+RADIUS = len(BLOCK_BITS) * (CHANGED + 1) - 1
 BROADCAST_ROWS = 4_000_000  # seeds of about 32 bytes, or flagged rows of 16
+LISTED_ROWS = 1_000_000  # blocks of pieces, of about 40 bytes
 FINGERPRINT = """aggregate(sequence(0, 63), 0L, (all, b) -> all | shiftleft(
     if(2 * aggregate(features, 0, (n, h) -> n + cast(shiftright(h, b) & 1L as int)) > size(features), 1L, 0L), b))"""
 
@@ -54,7 +59,9 @@ def _fingerprint(rows: DataFrame) -> DataFrame:
 
 def _blocks(name: str) -> Column:
     """Number and value of each block of a fingerprint."""
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(name, k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long")).alias("value")) for k in range(BLOCKS)])
+    shifts = [sum(BLOCK_BITS[:k]) for k in range(len(BLOCK_BITS))]
+    cut = [F.shiftrightunsigned(name, s).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) for s, bits in zip(shifts, BLOCK_BITS, strict=True)]
+    return F.array(*[F.struct(F.lit(k).alias("block"), value.alias("value")) for k, value in enumerate(cut)])
 
 
 def items_of(benchmark: DataFrame, width: int) -> DataFrame:
@@ -64,35 +71,85 @@ def items_of(benchmark: DataFrame, width: int) -> DataFrame:
     return _fingerprint(rows).withColumn("m", F.size("words")).withColumn("span", F.least(F.col("m"), F.lit(width)))
 
 
-def _seeds(items: DataFrame, width: int) -> DataFrame:
-    """(m, span, place, shingle): where items of this width have which shingle."""
+def pieces_of(items: DataFrame, width: int) -> DataFrame:
+    """(item, m, span, words, fingerprint): each item and, where it has more than ``width`` words, its halves; ``m`` is the piece's."""
+    half = F.greatest(F.lit(width), F.ceil(F.col("m") / 2).cast("int"))
+    spare = F.col("m") - half
+    places = F.array(F.struct(F.lit(0).alias("at"), F.col("m").alias("size")), *[
+        F.struct(at.cast("int").alias("at"), half.alias("size")) for at in (F.lit(0), F.floor(spare / 2), spare)])
+    places = F.when(F.col("m") > width, F.array_distinct(places)).otherwise(F.slice(places, 1, 1))
+    rows = items.select("item", "span", "words", F.explode(places).alias("p"))
+    rows = rows.select("item", "span", F.col("p.size").alias("m"), F.slice("words", F.col("p.at") + 1, F.col("p.size")).alias("words"))
+    return _fingerprint(rows)
+
+
+def _seeds(pieces: DataFrame, width: int) -> DataFrame:
+    """(m, span, place, shingle): where pieces of this width have which shingle."""
     every = F.transform(F.sequence(F.lit(0), F.col("m") - width), lambda i: _shingle(F.col("words"), i, width))
-    return items.where(F.col("span") == width).select("m", "span", F.posexplode(every).alias("place", "shingle"))
+    return pieces.where(F.col("span") == width).select("m", "span", F.posexplode(every).alias("place", "shingle"))
 
 
-def windows_of(docs: DataFrame, seeds: DataFrame, width: int, few: bool) -> DataFrame:
-    """(row, doc_id, m, span, start, words): windows of documents where a shingle meets an item's in its place."""
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
-    rows = rows.where(F.size("words") >= width)
-    placed = rows.select("row", "doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - width)).alias("at"))
-    placed = placed.withColumn("shingle", _shingle(F.col("words"), F.col("at"), width))
-    right = seeds.where(F.col("span") == width).select("shingle", "m", "place")
-    hits = placed.join(F.broadcast(right) if few else right, "shingle")
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.size("words") - F.col("m")))
-    hits = hits.select("row", "doc_id", "m", F.lit(width).alias("span"), start.alias("start"), F.slice("words", start + 1, F.col("m")).alias("words"))
-    return hits.groupBy("row", "doc_id", "m", "span", "start").agg(F.first("words").alias("words"))
+def _split(docs: DataFrame, width: int) -> DataFrame:
+    """(row, words): the rows that have words enough."""
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row"), words_of(F.col("text")).alias("words"))
+    return rows.where(F.size("words") >= width)
+
+
+def _placed(split: DataFrame, width: int, *more: str) -> DataFrame:
+    """(row, n, at, shingle) and ``more`` columns: every shingle in its place."""
+    placed = split.select("row", "words", F.size("words").alias("n"), F.explode(F.sequence(F.lit(0), F.size("words") - width)).alias("at"))
+    return placed.select("row", "n", "at", _shingle(F.col("words"), F.col("at"), width).alias("shingle"), *more)
 
 
-def _weighty(docs: DataFrame, held: DataFrame, spans: list[int], weights: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
-    """(row, doc_id, item_id, start, n_words, distance, similarity): the best window of every row that holds an item's weight."""
+def windows_of(docs: DataFrame, seeds: DataFrame, width: int, few: bool) -> DataFrame:
+    """(row, m, start, words): windows of documents where a shingle meets a piece's in its place."""
+    split = _split(docs, width)
+    right = seeds.where(F.col("span") == width).select("shingle", "m", "place")
+    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("n") - F.col("m"))).alias("start")
+    window = F.slice("words", F.col("start") + 1, F.col("m")).alias("words")
+    if few:  # the words never leave the task before they are cut
+        hits = _placed(split, width, "words").join(F.broadcast(right), "shingle").select("row", "m", "words", start).select("row", "m", "start", window)
+        return hits.groupBy("row", "m", "start").agg(F.first("words").alias("words"))
+    hits = _placed(split, width).join(right, "shingle").select("row", "m", start).distinct()
+    return hits.join(split.dropDuplicates(["row"]), "row").select("row", "m", "start", window)
+
+
+def candidates(docs: DataFrame, pieces: DataFrame, spans: list[int]) -> DataFrame:
+    """(row, item): where a window's fingerprint is within the radius of one of the item's pieces."""
+    seeds = reduce(DataFrame.unionByName, [_seeds(pieces, w) for w in spans])
+    seeds = cut_lineage(seeds.distinct())
+    few = seeds.count() <= BROADCAST_ROWS
+    windows = _fingerprint(reduce(DataFrame.unionByName, [windows_of(docs, seeds, w, few) for w in spans]))
+    windows = windows.select("row", "m", "fingerprint").distinct()
+
+    masks = F.filter(F.lit(MASKS).cast("array<bigint>"), lambda x: x < F.element_at(F.array(*[F.lit(1 << bits) for bits in BLOCK_BITS]), F.col("b.block") + 1))
+    listed = pieces.select("item", "m", F.col("fingerprint").alias("of_piece"), F.explode(_blocks("fingerprint")).alias("b"))
+    listed = listed.select("item", "m", "of_piece", "b.block", "b.value", F.explode(masks).alias("mask"))
+    listed = listed.select("item", "m", "of_piece", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    asked = windows.select("row", "m", "fingerprint", F.explode(_blocks("fingerprint")).alias("b")).select("row", "m", "fingerprint", "b.block", "b.value")
+    # The planner cannot see how many rows the masks make, so the count decides.
+    listed = F.broadcast(listed) if pieces.count() * len(BLOCK_BITS) * len(MASKS) <= LISTED_ROWS else listed.hint("merge")
+    met = asked.join(listed, ["m", "block", "value"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_piece"))) <= RADIUS)
+    return met.select("row", "item").distinct()
+
+
+def _best_windows(docs: DataFrame, asked: DataFrame | None, held: DataFrame, spans: list[int], weights: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """(row, doc_id, item_id, start, n_words, distance, similarity): the best window of every asked (row, item) that holds the item's weight.
+
+    Without ``asked`` every row is looked through for every item.
+    """
     shingled = held.select("item", "span", F.explode("shingles").alias("shingle")).join(weights, "shingle")
-    split = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row"), words_of(F.col("text")).alias("words"))
+    few = asked is not None and asked.count() <= BROADCAST_ROWS
     hits = None
     for w in spans:
-        placed = split.where(F.size("words") >= w).select("row", "words", F.size("words").alias("n"), F.explode(F.sequence(F.lit(0), F.size("words") - w)).alias("at"))
-        placed = placed.select("row", "n", "at", _shingle(F.col("words"), F.col("at"), w).alias("shingle"))
+        split = _split(docs, w)
+        if asked is not None:
+            named = asked.select("row").distinct()
+            split = split.join(F.broadcast(named) if few else named, "row", "left_semi")
         right = shingled.where(F.col("span") == w).drop("span")
-        met = placed.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, "shingle")
+        met = _placed(split, w).join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, "shingle")
+        if asked is not None:
+            met = met.join(F.broadcast(asked) if few else asked, ["row", "item"], "left_semi")
         hits = met if hits is None else hits.unionByName(met)
     # First the weight of all shingles that a row and an item share; few reach what a window must hold.
     once = hits.groupBy("row", "item", "shingle").agg(F.first("weight").alias("weight"), F.collect_set("at").alias("places"), F.max("n").alias("n"))
@@ -115,49 +172,29 @@ def _weighty(docs: DataFrame, held: DataFrame, spans: list[int], weights: DataFr
     texts = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = texts.join(right, "row").withColumn("words", F.slice(words_of(F.col("text")), F.col("start") + 1, F.col("m"))).drop("text")
     found = _fingerprint(found)
-    return found.select("row", "doc_id", "item_id", "start", F.size("words").alias("n_words"), F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item"))).alias("distance"), "similarity")
+    distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item"))).alias("distance")
+    return found.select("row", "doc_id", "item_id", "start", F.size("words").alias("n_words"), distance, "similarity").distinct()
+
 
+def find(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.75, fingerprints: bool = True) -> DataFrame:
+    """(row, doc_id, item_id, start, n_words, distance, similarity): each row's best window for each item it holds.
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.75) -> DataFrame:
-    """(row, doc_id, item_id, start, n_words, distance, similarity): each row's best window for each item it holds."""
+    Without ``fingerprints`` every row is verified against every item: the measure of what the fingerprints find.
+    """
     items = cut_lineage(items_of(benchmark, width))
-    spans = [r[0] for r in items.select("span").distinct().orderBy("span").collect()]  # at most ``width`` numbers
-    cases = F.coalesce(*[F.when(F.col("span") == w, _shingles(F.col("words"), w)) for w in spans or [width]])
+    spans = [r[0] for r in items.select("span").distinct().orderBy("span").collect()] or [width]  # at most ``width`` numbers
+    cases = F.coalesce(*[F.when(F.col("span") == w, _shingles(F.col("words"), w)) for w in spans])
     held = items.select("item", "item_id", "m", "span", "fingerprint", cases.alias("shingles"))
     terms = held.select("item", F.explode("shingles").alias("shingle"))
     total = items.count()
     weights = terms.groupBy("shingle").agg(F.count("*").alias("holders")).select("shingle", F.log1p(F.lit(total) / F.col("holders")).alias("weight"))
     weights = cut_lineage(weights)
-    weighed = terms.join(weights, "shingle").groupBy("item").agg(F.collect_list(F.struct("shingle", "weight")).alias("terms"), F.sum("weight").alias("whole"))
-
-    seeds = [_seeds(items, w) for w in spans]
-    if not seeds:
-        seeds = [items.select("m", "span", F.lit(0).alias("place"), F.lit(0).cast("long").alias("shingle"))]
-    seeds_all = seeds[0]
-    for more in seeds[1:]:
-        seeds_all = seeds_all.unionByName(more)
-    seeds_all = cut_lineage(seeds_all.distinct())
-    few = seeds_all.count() <= BROADCAST_ROWS
-    windows = windows_of(docs, seeds_all, spans[0] if spans else width, few)
-    for w in spans[1:]:
-        windows = windows.unionByName(windows_of(docs, seeds_all, w, few))
-    windows = _fingerprint(windows)
-    shingled = F.coalesce(*[F.when(F.col("span") == w, _shingles(F.col("words"), w)) for w in spans or [width]])
-    windows = cut_lineage(windows.select("row", "doc_id", "m", "start", F.size("words").alias("n_words"), "fingerprint", shingled.alias("shingles")))
-
-    listed = items.select("item", "item_id", "m", F.col("fingerprint").alias("of_item"), F.explode(_blocks("fingerprint")).alias("b"), F.lit(MASKS).cast("array<bigint>").alias("masks"))
-    listed = listed.select("item", "item_id", "m", "of_item", "b.block", F.explode("masks").alias("mask"), "b.value").withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
-    asked = windows.select("row", "doc_id", "m", "start", "n_words", "fingerprint", "shingles", F.explode(_blocks("fingerprint")).alias("b")).select("*", "b.block", "b.value").drop("b")
-    distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item")))
-    near = asked.join(listed, ["m", "block", "value"]).withColumn("distance", distance).where(F.col("distance") <= RADIUS)
-    near = near.select("row", "doc_id", "item", "item_id", "start", "n_words", "distance", "shingles").join(weighed, "item")
-    both = F.aggregate(F.filter("terms", lambda t: F.array_contains("shingles", t["shingle"])), F.lit(0.0), lambda s, t: s + t["weight"])
-    near = near.withColumn("similarity", both / F.col("whole")).where(F.col("similarity") >= similarity - 1e-9)
-    near = near.select("row", "doc_id", "item_id", "start", "n_words", "distance", "similarity")
-    if spans:
-        near = near.unionByName(_weighty(docs, held, spans, weights, weighed, similarity))
+    whole = terms.join(weights, "shingle").groupBy("item").agg(F.sum("weight").alias("whole"))
+    asked = cut_lineage(candidates(docs, cut_lineage(pieces_of(items, width)), spans)) if fingerprints else None
+    found = _best_windows(docs, asked, held, spans, weights, whole, similarity)
+    # The same item_id may name several texts.
     best = F.max(F.struct("similarity", (-F.col("distance")).alias("nearness"), (-F.col("start")).alias("before"), "n_words")).alias("best")
-    found = near.groupBy("row", "doc_id", "item_id").agg(best)
+    found = found.groupBy("row", "doc_id", "item_id").agg(best)
     return found.select("row", "doc_id", "item_id", (-F.col("best.before")).alias("start"), F.col("best.n_words").alias("n_words"), (-F.col("best.nearness")).alias("distance"), F.col("best.similarity").alias("similarity"))
 
 

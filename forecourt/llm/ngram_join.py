@@ -299,7 +299,10 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     least = whole.groupBy("n", "same1", "same2").agg(F.min("uid").alias("rep"))
     copies = cut_lineage(whole.join(least, ["n", "same1", "same2"]).where("uid <> rep").select("uid", "rep"))
     spare = copies.select("uid")
-    reps = able.join(F.broadcast(spare) if copies.count() <= BROADCAST_ROWS else spare, "uid", "left_anti")
+    if copies.count() <= BROADCAST_ROWS:
+        reps = able.join(F.broadcast(spare), "uid", "left_anti")
+    else:  # a shuffled join may give another order when a task runs again, and batches are numbered by place
+        reps = cut_lineage(able.join(spare, "uid", "left_anti"))
     bits = _bits(docs.count())
     reps = _shared(map_batches(reps, _chunks(_from_sets, bits), CHUNK), bits, percent).where(F.size("tokens") > 0).select("uid", "n", "tokens")
     roots = components(links(reps, percent)).withColumnRenamed("node", "rep")

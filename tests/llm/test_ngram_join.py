@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from forecourt.llm import ngram_join
 from forecourt.llm.components import components
 from forecourt.llm.ngram_join import near_duplicates, one_of_each
 
@@ -74,6 +75,14 @@ def test_chain_of_links(spark):
     assert run(spark, rows) == brute_force(rows)
 
 
+def test_copies_joined_instead_of_sent(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = family(rng, 12, 60, 3) + family(rng, 1, 40, 0) * 8
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, None), (101, ""), (102, "x")]
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", -1)
+    assert run(spark, rows) == brute_force(rows)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"v{i % 977}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \t\n\x0b\x0c\r "), (4, "A b c"), (5, "a B\tc"), (6, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"),

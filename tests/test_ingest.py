@@ -224,3 +224,12 @@ def test_link_images_keeps_first_paths(spark):
     done = spark.createDataFrame([(1, i, f"p{i}") for i in (2, 0, 1)], "ad_id long, position int, path string")
     out = {r.id: r.local_image_paths for r in media.link_images(ads, done, 2).collect()}
     assert out == {1: ["p0", "p1"], 2: ["kept"]}
+
+
+def test_orphan_links_reads_every_order(spark, tmp_path):
+    from forecourt.plans import registry
+
+    registry.load_all()
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 1), (13, 2)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert rows(registry.QUERIES["orphan_links"](spark, str(tmp_path)), "ad_id", "source_id") == [(3, "c")]

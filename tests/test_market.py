@@ -142,3 +142,29 @@ def test_confidence_and_holds(spark):
     rows = spark.createDataFrame([(1, None, 0.0), (None, None, 2.0)], "a int, b int, c double")
     out = rows.select(pricing.completeness(["a", "b", "c"]).alias("k"), listings.holds("c").alias("h")).collect()
     assert [r.k for r in out] == [pytest.approx(0.8 * 2 / 3), pytest.approx(0.8 / 3)] and [r.h for r in out] == [False, True]
+
+
+def test_training_rows_are_dealt_to_tasks(spark, monkeypatch):
+    """However few files they come from; and a forest walks once a row, whatever reads its price."""
+    ads = spark.range(300, numPartitions=1).selectExpr(
+        "id", "cast(id as string) as source_id", "cast(1000 + id % 7 * 100 as double) as price", "cast(2000 + id % 7 as int) as year", "cast(id as int) as mileage",
+        "100 as engine_power", "2.0 as engine_displacement", "'a' as fuel_type", "'m' as transmission", "'x' as body_type", "'c' as color", "'d' as dealer_type",
+    )
+    made, dealt = pricing.price_pipeline, []
+
+    class Watched:
+        def __init__(self, *settings):
+            self.pipeline = made(*settings)
+
+        def fit(self, train):
+            dealt.append(train.rdd.getNumPartitions())
+            return self.pipeline.fit(train)
+
+    monkeypatch.setattr(pricing, "price_pipeline", Watched)
+    trained = pricing.train_price_model(ads, trees=2, depth=2, rows_per_task=100)
+    assert dealt == [3] and (trained.training_samples, trained.test_samples) == (240, 60)
+    pricing.train_price_model(ads, trees=2, depth=2)
+    assert dealt == [3, 1]
+    deals = pricing.predict_prices(trained.model, ads).filter("is_good_deal")
+    plan = deals._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(array(predicted_price" in plan and "Filter" in plan.split("Generate explode(array(predicted_price")[0]

@@ -111,3 +111,11 @@ def test_pictures(spark, tmp_path):
     made = export.materialize_dataset(spark, str(folder), str(tmp_path / "out"))
     assert made.kept.count() == spark.read.csv(made.paths["metadata_csv"], header=True).count()
     assert image_source.scan_image_files(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_what_is_parsed_is_never_sent_whole(spark):
+    """A plan can tell little of the size of pages that it makes itself: joins of their elements shuffle."""
+    made = spark.range(3).selectExpr("id as page_id", "concat('https://cars.example.com/', id) as url", "repeat('<p>x</p>', 3) as html")
+    rows = pages.elements(made, pages.BRIEF_TAGS)
+    for found in (catalog.page_bundle(rows), pages.generation_links(rows), catalog.flat_specs(catalog.spec_rows(rows))):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

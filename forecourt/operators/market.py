@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from forecourt.functions import fixed
 from forecourt.operators.listings import priced
 from forecourt.operators.ranks import MAX_SORTED, exact_median
+from forecourt.session import cut_lineage
 
 HIGH_KM_PER_YEAR = 20_000
 
@@ -107,6 +108,8 @@ def market_report(
         entry = F.struct(first, *[F.col(c) for c in df.columns if c != order])
         return df.agg(F.sort_array(F.collect_list(entry)).alias("entries")).scalar()
 
+    # Six figures and the median's passes read it: what joins made the ads runs once.
+    ads = cut_lineage(ads.select("price", "year", "mileage", "dealer_type"))
     condition = high_mileage_impact(ads, ref_year)
     out = market_overview(ads, max_sorted).withColumns({
         "by_year": gathered(price_by_year(ads), "year"),

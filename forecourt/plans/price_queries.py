@@ -72,8 +72,9 @@ scaled as (select id, price, {", ".join(f"i_{c}" for c in CODES)}, {", ".join(f"
 
 
 def _encoded(spark, sf_dir):
-    ads = spark.sql(GAPPY, ads=_ads(spark, sf_dir))
-    prepared = cut_lineage(pricing.prepare_training_data(ads))
+    # The rows are kept before their gaps are filled: medians, codes and scores all read them, and joins run once.
+    ads = cut_lineage(spark.sql(GAPPY, ads=_ads(spark, sf_dir)))
+    prepared = pricing.prepare_training_data(ads)
     coder = Pipeline(stages=pricing.encoding_stages()).fit(prepared)
     return pricing.encoded(coder, prepared, ("id", "price"))
 

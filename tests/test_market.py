@@ -168,3 +168,21 @@ def test_training_rows_are_dealt_to_tasks(spark, monkeypatch):
     deals = pricing.predict_prices(trained.model, ads).filter("is_good_deal")
     plan = deals._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode(array(predicted_price" in plan and "Filter" in plan.split("Generate explode(array(predicted_price")[0]
+
+
+def test_rows_are_made_once(spark):
+    """Medians and reports pass over their ads several times, over what made them once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    ads = spark.range(3000).selectExpr(
+        "cast(1000 + id % 977 as double) as price", "cast(2000 + id % 7 as int) as year", "cast(id as int) as mileage", "100 as engine_power",
+        "2.0D as engine_displacement", "'d' as dealer_type",
+    )
+    ads = ads.mapInPandas(counted, ads.schema)
+    assert pricing.feature_medians(ads, 10)["mileage"] == 1499.5 and read.value == 3000
+    assert market.market_report(ads, 2024, 10).first().total_listings == 3000 and read.value == 6000

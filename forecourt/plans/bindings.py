@@ -343,7 +343,9 @@ def plain_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """name, height, width, nChannels, data: 5 to 355 of 360 lines in the first colour, the others in the second."""
     codes = F.array(*[F.lit(f"{b:02X}{g:02X}{r:02X}") for _, r, g, b in PLAIN_COLORS])
     n, height = len(PLAIN_COLORS), F.lit(PLAIN_HEIGHT)
-    rows = wide_table(spark, sf_dir, "supplier").select(
+    # On all cores, a supplier's rows on one: pictures of one name are one file, as the last of them leaves it.
+    suppliers = table(spark, sf_dir, "supplier").repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
+    rows = suppliers.select(
         F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".png")).alias("name"), (5 + 5 * (F.col("s_suppkey") % 71)).cast("int").alias("lines"),
         F.get(codes, (F.col("s_suppkey") % n).cast("int")).alias("upper"), F.get(codes, (F.col("s_nationkey") % n).cast("int")).alias("lower"),
     )

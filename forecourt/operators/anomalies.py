@@ -9,8 +9,10 @@ from forecourt.functions import fixed
 from forecourt.operators.listings import anomaly_columns, holds, sample_active
 from forecourt.operators.once import once
 from forecourt.operators.skew import ROWS_PER_SPLIT, hot_keys, spread_join
+from forecourt.session import cut_lineage
 
 COHORT = ["year", "make", "model"]
+BROADCAST_COHORTS = 200_000  # some twenty megabytes
 # Characters that separate words: everything Unicode and ASCII call white space. Fixed value.
 SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
@@ -19,20 +21,27 @@ def finding(condition: Column, reason: Column, score: Column) -> Column:
     return F.when(condition, F.struct(reason.alias("reason"), score.cast("double").alias("score")))
 
 
-def with_price_zscore(ads: DataFrame, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+def with_price_zscore(ads: DataFrame, rows_per_split: int = ROWS_PER_SPLIT, broadcast_cohorts: int = BROADCAST_COHORTS) -> DataFrame:
     """Distance of the price from its cohort (same year, make and model) in population deviations.
 
-    Cohort figures are aggregated before the shuffle and joined back, so a cohort that holds a large
-    share of all ads is never gathered in one task as a window would.
+    Cohort figures are aggregated before the shuffle, kept, and joined back, so a cohort that holds a large share of all
+    ads is never gathered in one task as a window would. Few cohorts are sent to the ads, which then stay where they are.
     """
     counted = holds("price")
-    cohorts = ads.filter(counted).groupBy(*COHORT).agg(
+    cohorts = cut_lineage(ads.filter(counted).groupBy(*COHORT).agg(
         F.count("price").alias("cohort_n"),
         F.avg("price").alias("cohort_mean"),
         F.stddev_pop("price").alias("cohort_std"),
-    )
-    hot = hot_keys(cohorts, COHORT, "cohort_n", rows_per_split=rows_per_split)
-    joined = spread_join(ads, cohorts, COHORT, hot, ["id"], "left", wanted=counted)
+    ))
+    if cohorts.limit(broadcast_cohorts + 1).count() <= broadcast_cohorts:
+        small = F.broadcast(cohorts.withColumnsRenamed({k: f"__g_{k}" for k in COHORT}))
+        same = counted
+        for key in COHORT:
+            same = same & F.col(key).eqNullSafe(F.col(f"__g_{key}"))
+        joined = ads.join(small, same, "left").drop(*[f"__g_{k}" for k in COHORT])
+    else:
+        hot = hot_keys(cohorts, COHORT, "cohort_n", rows_per_split=rows_per_split)
+        joined = spread_join(ads, cohorts, COHORT, hot, ["id"], "left", wanted=counted)
     distance = F.abs(F.col("price") - F.col("cohort_mean"))
     z = F.when(F.col("cohort_std") > 0, distance / F.col("cohort_std")).otherwise(F.lit(0.0))
     return joined.withColumn("price_z", F.when(counted & (F.col("cohort_n") >= 3), z))
@@ -137,21 +146,18 @@ def text_rule() -> Column:
     )
 
 
-def score_ads(
-    ads: DataFrame,
-    ref_year: int = fixed.REFERENCE_YEAR,
-    text: Column | None = None,
-    rows_per_split: int = ROWS_PER_SPLIT,
-) -> DataFrame:
-    """All findings of every ad, flagged or not, in the order price, mileage, year, dealer, images, text."""
-    rows = described(with_price_zscore(ads, rows_per_split), text_of() if text is None else text)
-    found = F.array(
-        price_rule(), mileage_rule(ref_year), year_rule(ref_year), dealer_rule(), image_rule(),
-        text_rule(),
-    )
-    rows = once(rows, "findings", F.filter(found, lambda f: f.isNotNull())).drop(
-        "__text", "__words", "__top", "__keywords"
-    )
+def with_own_findings(ads: DataFrame, ref_year: int = fixed.REFERENCE_YEAR, text: Column | None = None) -> DataFrame:
+    """Ads with ``__own``: what the rules find that look at nothing but the ad, in the order mileage, year, dealer, images, text."""
+    rows = described(ads, text_of() if text is None else text)
+    found = F.array(mileage_rule(ref_year), year_rule(ref_year), dealer_rule(), image_rule(), text_rule())
+    return once(rows, "__own", F.filter(found, lambda f: f.isNotNull())).drop("__text", "__words", "__top", "__keywords")
+
+
+def with_scores(rows: DataFrame, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+    """Ads and their own findings with the price's finding in front, and what follows from all."""
+    rows = with_price_zscore(rows, rows_per_split)
+    found = F.concat(F.filter(F.array(price_rule()), lambda f: f.isNotNull()), F.col("__own"))
+    rows = once(rows, "findings", found).drop("__own")
     total = F.aggregate("findings", F.lit(0.0), lambda acc, f: acc + f["score"])
     return rows.withColumns({
         "is_anomaly": F.size("findings") > 0,
@@ -161,11 +167,30 @@ def score_ads(
     })
 
 
-def detect_anomalies(ads: DataFrame, **options) -> DataFrame:
-    """Flagged ads only."""
-    return score_ads(ads, **options).filter("is_anomaly").select(
-        F.col("id").alias("ad_id"), F.coalesce("source_id", F.lit("unknown")).alias("source_id"),
-        "anomaly_score", "anomaly_reasons", "confidence",
+def score_ads(
+    ads: DataFrame,
+    ref_year: int = fixed.REFERENCE_YEAR,
+    text: Column | None = None,
+    rows_per_split: int = ROWS_PER_SPLIT,
+) -> DataFrame:
+    """All findings of every ad, flagged or not, in the order price, mileage, year, dealer, images, text."""
+    return with_scores(with_own_findings(ads, ref_year, text), rows_per_split)
+
+
+def detect_anomalies(
+    ads: DataFrame,
+    ref_year: int = fixed.REFERENCE_YEAR,
+    text: Column | None = None,
+    rows_per_split: int = ROWS_PER_SPLIT,
+) -> DataFrame:
+    """Flagged ads only.
+
+    Addresses, paths and texts are looked at where the ads are made. The short rows with what was found there are kept,
+    so that what made the ads runs once for the cohorts and the scores.
+    """
+    own = with_own_findings(ads, ref_year, text).select("id", F.coalesce("source_id", F.lit("unknown")).alias("source_id"), *COHORT, "price", "__own")
+    return with_scores(cut_lineage(own), rows_per_split).filter("is_anomaly").select(
+        F.col("id").alias("ad_id"), "source_id", "anomaly_score", "anomaly_reasons", "confidence",
     )
 
 

@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from forecourt.operators import anomalies
 
 SCHEMA = ("id long, source_id string, year int, make string, model string, price double, mileage int, dealer_name string, "
@@ -64,3 +66,27 @@ def test_score_is_capped_and_reasons_keep_order(spark):
     assert [r.split()[0] for r in row.anomaly_reasons] == ["Very", "Future", "Suspicious", "No", "Suspicious"]
     assert row.anomaly_score == 1.0 and row.confidence == pytest.approx(0.9)
     assert anomalies.reason_counts(out).first().reason == row.anomaly_reasons[0]
+
+
+@pytest.mark.parametrize("broadcast_cohorts", [200_000, 0])
+def test_cohorts_sent_or_joined(spark, broadcast_cohorts):
+    """Null keys are a cohort like others, an ad without a price has none, and rows that come twice stay two."""
+    rows = [ad(i, model=None, price=float(p)) for i, p in enumerate([1, 2, 6])] + [ad(7, price=None), ad(8, price=0.0)] + [ad(9)] * 2
+    scored = anomalies.with_price_zscore(spark.createDataFrame(rows, SCHEMA), broadcast_cohorts=broadcast_cohorts)
+    got = sorted((r.id, r.cohort_n, r.price_z) for r in scored.select("id", "cohort_n", F.round("price_z", 4).alias("price_z")).collect())
+    assert sorted(got, key=str) == sorted([(0, 3, 0.9258), (1, 3, 0.4629), (2, 3, 1.3887), (7, None, None), (8, None, None), (9, 2, None), (9, 2, None)], key=str)
+
+
+def test_ads_are_made_once_and_travel_short(spark):
+    """Each ad is made once for the whole report, and its addresses are no part of any kept or moved row."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [ad(i, urls=21) for i in range(10)]
+    found = anomalies.detect_anomalies(spark.createDataFrame(rows, SCHEMA).mapInArrow(count, SCHEMA).repartition(2))
+    assert found.count() == 10 and made.value == 10
+    assert "image_urls" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -61,3 +61,24 @@ def test_size_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "MAX_BYTES", 4)
     with pytest.raises(ValueError, match="bound"):
         build_cascade(spark.range(100).withColumnRenamed("id", "key"), spark.range(2000).withColumnRenamed("id", "key"))
+
+
+def test_jobs_do_not_follow_shuffle_partitions(spark):
+    """A small list runs the same few tasks however many partitions a shuffle has and keeps."""
+    from forecourt.llm.url_filter import build_cascade
+    from pyspark.sql import functions as F
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    context = spark.sparkContext
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        context.setJobGroup("cascade", "cascade")
+        universe = spark.range(500).select(F.xxhash64("id").alias("key")).distinct()
+        levels = build_cascade(spark.range(20).select(F.xxhash64("id").alias("key")).distinct(), universe)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert levels and len(context.statusTracker().getJobIdsForGroup("cascade")) < 37

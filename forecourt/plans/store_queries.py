@@ -133,9 +133,9 @@ def many_configured_listings(spark, sf_dir):
     """What a configuration for each customer finds, in one plan."""
     configs = spark.sql(CONFIGS, customer=table(spark, sf_dir, "customer"))
     configs = configs.withColumn("exclude_keywords", F.when(F.col("word").isNotNull(), F.array("word")))
-    found = configured.configured(ads_view(spark, sf_dir, "id", "title", "price", "year", wide=True), configs)
+    found = configured.configured(ads_view(spark, sf_dir, "id", "title", "price", "year", wide=True), configs, totals_of="id")
     return found.groupBy("job").agg(
-        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.round(F.sum("price"), 2).alias("total")
+        F.sum("n").alias("n"), F.min("first").alias("first_id"), F.max("last").alias("last_id"), F.round(F.sum("total"), 2).alias("total")
     )
 
 

@@ -33,6 +33,44 @@ def test_equals_all_pairs(spark, broadcast_bins):
     assert len(got) > 500 and got == sorted((c[0], a[0]) for c in configs for a in ads if passes(a, c))
 
 
+@pytest.mark.parametrize("rows_per_cell", [100_000, 40, 3])
+def test_totals_equal_all_pairs(spark, rows_per_cell):
+    """Jobs, listings and prices that repeat or are missing, ranges in one cell, over many and the wrong way round."""
+    rng = random.Random(4)
+    maybe = lambda value, share=0.2: None if rng.random() < share else value
+    odd = [0.0, -0.0, -5.0, 999.99, 999.99, float("inf")]
+    ads = [(maybe(f"id{rng.randint(0, 250)}", 0.05), maybe(rng.choice(["Old car", "new CAR", "bolt 100%", ""])),
+            maybe(rng.choice([*odd, *[float(rng.randint(0, 60_000)) for _ in odd]]), 0.1), maybe(rng.randint(1990, 1994), 0.1)) for _ in range(300)]
+    configs = []
+    for i in range(150):
+        low = rng.choice([0.0, 999.99, float(rng.randint(0, 50_000)), float(rng.randint(0, 50_000))])
+        configs.append((maybe(f"j{i % 90}", 0.05), maybe(low), maybe(low + rng.choice([-1, 0, 10, 5_000, 1e9])), maybe(rng.randint(1990, 1994), 0.4), maybe(rng.randint(1990, 1994), 0.4),
+                        maybe([maybe(w, 0.1) for w in rng.sample(["old", "CAR", "%", "bolt", ""], rng.randint(0, 2))])))
+    found = configured(spark.createDataFrame(ads, "id string, title string, price double, year int").repartition(3), spark.createDataFrame(configs, CONFIG),
+                       totals_of="id", rows_per_cell=rows_per_cell)
+    got = found.groupBy("job").agg(F.sum("n"), F.min("first"), F.max("last"), F.round(F.sum("total"), 2)).collect()
+    expected = {}
+    for c in configs:
+        for a in ads:
+            if passes(a, c):
+                expected.setdefault(c[0], []).append(a)
+
+    def summary(job, hits):
+        ids, prices = [a[0] for a in hits if a[0] is not None], [a[2] for a in hits if a[2] is not None]
+        return (job, len(hits), min(ids, default=None), max(ids, default=None), round(sum(prices), 2) if prices else None)
+
+    rows = sorted((summary(j, hits) for j, hits in expected.items()), key=str)
+    assert len(rows) > 50 and sorted(map(tuple, got), key=str) == rows
+
+
+def test_totals_make_no_pairs(spark):
+    """Every configuration finds every listing: 4 * 10^9 pairs, added up in seconds."""
+    ads = spark.range(20_000).selectExpr("id", "'a' as title", "cast(id as double) as price", "1990 as year")
+    configs = spark.range(200_000).selectExpr("id as job", "0D as min_price", "1e9D as max_price", "1990 as year_from", "1990 as year_to", "array('x') as exclude_keywords")
+    found = configured(ads, configs, totals_of="id").groupBy("job").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    assert found.filter("n = 20000 and total = 199990000").count() == 200_000
+
+
 def test_one_bin_in_common(spark):
     """A price inside a range shares exactly one bin with it, and no range has many bins."""
     rng = random.Random(3)

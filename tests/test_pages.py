@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 
@@ -119,3 +120,43 @@ def test_what_is_parsed_is_never_sent_whole(spark):
     rows = pages.elements(made, pages.BRIEF_TAGS)
     for found in (catalog.page_bundle(rows), pages.generation_links(rows), catalog.flat_specs(catalog.spec_rows(rows))):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+class _ByParser(pages._Outline):
+    """The same page, every character of it read by HTMLParser."""
+
+    def _read(self, html):
+        self.feed(html)
+
+
+def test_outline_reads_as_the_parser_does():
+    rng = random.Random(1)
+    bits = ['<div class="a">', "</div>", "<p>", "</p>", "text", "a < b", "&amp;", "&lt", "&am", "p;", "<br/>", "<br>", "<BR />", "<!-- c > d -->", "<!--", "-->",
+            "<!DOCTYPE html>", "<script>", "</script>", "if (a<b && c>d)", "<style>", "</style >", "<title>", "</title>", '<a href="x&amp;y">', "<A HREF='q' href=\"z\" b=3>",
+            "</a>", "<?php x ?>", "</>", "</ p>", "<p", ">", '"', '<img src="a>b" alt="">', "<textarea>", "</textarea>", " \n ", '<x:y z="1">', '<p class="q"/>',
+            '<table\nid="t" Class="u" class="v">', "&#x41;", "\r\n", "<plaintext>", "<h2 >"]
+    told = lambda found: [(e.tag, e.attrs, e.depth, e.parent, e.last_ord, e.leaf, "".join(e.own), e.below()) for e in found]
+    for _ in range(5_000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))
+        assert told(pages._Outline().outline(html)) == told(_ByParser().outline(html)), html
+
+
+def test_elements_makes_what_is_asked(spark):
+    source = spark.createDataFrame([(1, '<div id="d">x<p>y <a href="h">z</a></p></div><p></p>'), (2, None)], "page_id bigint, html string")
+    every = pages.elements(source, frozenset(["p"]))
+    some = pages.elements(source, frozenset(["p"]), columns=["tag", "text", "attr_href"], tags=frozenset(["p", "a"]))
+    assert some.columns == ["page_id", "ord", "tag", "text", "attr_href"]
+    assert some.collect() == every.filter("tag in ('p', 'a')").select(some.columns).collect() and some.count() == 3
+
+
+def test_generation_links_parse_pages_once(spark):
+    html = ('<div class="carmodel"><h2><a href="/x">one</a><a href="">none</a></h2><a href="/y">no heading</a><h2><div class="carmodel"><a href="/z"> two </a></div></h2></div>'
+            '<h2><div class="carmodel"><a href="/w">box inside</a></div></h2>')
+    source = spark.createDataFrame([(1, html), (2, html.replace("one", "uno")), (2, html)], "page_id bigint, html string")
+    found = pages.generation_links(pages.overview_elements(source), "https://b")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # one reads the pages, one passes over what was found
+    assert plan.count("Scan ExistingRDD") == 1
+    expected = {(1, "one", "https://b/x"), (1, "two", "https://b/z"), (2, "uno", "https://b/x"), (2, "one", "https://b/x"), (2, "two", "https://b/z")}
+    assert sorted(tuple(r) for r in found.select("page_id", "name", "url").collect()) == sorted(expected)
+    assert pages.generation_links(pages.elements(source, pages.BRIEF_TAGS), "https://b").count() == 5

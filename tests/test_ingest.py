@@ -233,3 +233,16 @@ def test_orphan_links_reads_every_order(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(1, 1), (13, 2)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     assert rows(registry.QUERIES["orphan_links"](spark, str(tmp_path)), "ad_id", "source_id") == [(3, "c")]
+
+
+def test_addresses_travel_without_their_hashes(spark):
+    ads = spark.createDataFrame([(1, "s", ["http://h/a.jpg", None, "http://h/c"]), (2, "t", None), (3, "u", ["http://h/a.jpg"])], "id int, source_id string, image_urls array<string>")
+    index = spark.createDataFrame([("http://h/c",), ("http://h/z",), (None,)], "url string").select(F.md5("url").alias("url_hash"))
+    found = media.urls_to_download(ads, index, 3)
+    assert found.columns == ["url_hash", "ad_id", "source_id", "url", "filename"]
+    wanted = found.select("ad_id", "url", F.expr("url_hash <=> md5(url)").alias("hashed")).collect()
+    assert sorted(map(tuple, wanted), key=str) == [(1, "http://h/a.jpg", True), (1, None, True), (3, "http://h/a.jpg", True)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = media.urls_to_download(ads, index, 3)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(md5(" in plan and "hashpartitioning(url_hash" not in plan

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from forecourt.functions import fixed
 from forecourt.operators import anomalies
 from forecourt.operators.once import once
-from forecourt.plans.bindings import DOCUMENT_ADS, ads_sql, ads_view, document_ads, full_ads, table, wide_table, with_images, words_sql
+from forecourt.plans.bindings import DOCUMENT_ADS, ads_sql, ads_view, dealt_table, document_ads, full_ads, table, with_images, words_sql
 from forecourt.plans.registry import query
 
 REF_YEAR = 2001
@@ -87,7 +87,7 @@ tops as (select id, sum(n) as n_words, max(n) as top from counts group by id)"""
 @query(f"""with a as (select doc_id as id, text from documents), {WORD_COUNTS}
 select id as doc_id, cast(n_words as bigint) as n_words, cast(top as bigint) as top_count, n_words > 100 and top > n_words * 0.1 as repetitive from tops""")
 def text_repetition(spark, sf_dir):
-    docs = wide_table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = dealt_table(spark, sf_dir, "documents", "doc_id", "text")
     rows = once(docs, "words", anomalies.words_of(F.col("text"))).filter(F.size("words") > 0)
     counted = once(rows, "top", anomalies.top_word_count(F.col("words")))
     n = F.size("words")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from forecourt.functions import urls
 from forecourt.operators import media, pages
-from forecourt.plans.bindings import ads_sql, ads_view, table, wide_table
+from forecourt.plans.bindings import ads_sql, ads_view, dealt_table, table
 from forecourt.plans.registry import query
 
 HOST = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)"
@@ -24,7 +24,7 @@ select page_id, source_site, source_id,
 from n""")
 def url_parts(spark, sf_dir):
     key = urls.source_site_and_id("url")
-    return wide_table(spark, sf_dir, "pages").select(
+    return dealt_table(spark, sf_dir, "pages").select(
         "page_id", key["source_site"].alias("source_site"), key["source_id"].alias("source_id"),
         urls.image_filename("url", F.concat(F.lit("p"), F.col("page_id").cast("string"))).alias("filename"),
         urls.url_hash("url").alias("url_hash"), urls.gallery_filename("url").alias("gallery_name"),
@@ -92,7 +92,7 @@ l as (select page_id, host, unnest(regexp_extract_all(html, '<a href="([^"]*)"',
 select page_id, href, case when starts_with(href, '//') then 'https:' || href when starts_with(href, '/') then 'https://' || host || href
   when not starts_with(href, 'http') then 'https://' || host || '/' || href else href end as url, count(*) as n from l group by all""")
 def page_links(spark, sf_dir):
-    source = wide_table(spark, sf_dir, "pages")
+    source = dealt_table(spark, sf_dir, "pages")
     return pages.links(pages.elements(source, frozenset(["a"])), source).groupBy("page_id", "href", "url").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -94,8 +94,9 @@ class _Outline(HTMLParser):
     """Elements of a page as nested intervals, in order of their start: every element knows the number of the last one
     inside it, and which run of the page's pieces of text lies below it. Nothing is repeated for the elements around."""
 
-    def __init__(self) -> None:
+    def __init__(self, keep_texts: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.keep_texts = keep_texts  # else only an element's own text is known
         self.elements: list[_Element] = []
         self.open: list[int] = []
         self.streams = [_Stream()]
@@ -166,9 +167,10 @@ class _Outline(HTMLParser):
             self._write(raw, raw.strip())
 
     def _write(self, raw, stripped):
-        stream = self.streams[-1]
-        stream.raw.append(raw)
-        stream.stripped.append(stripped)
+        if self.keep_texts:
+            stream = self.streams[-1]
+            stream.raw.append(raw)
+            stream.stripped.append(stripped)
         if stripped and self.open:
             element = self.elements[self.open[-1]]
             if element.own:
@@ -239,24 +241,27 @@ def _outlines(texts: frozenset[str], leaves: bool, tags: frozenset[str] | None,
         out, size = {n: [] for n in schema.names}, 0
         for batch in batches:
             for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html")):
-                found = _Outline().outline(html.as_py()) if html.is_valid else []
-                chosen = [i for i, e in enumerate(found) if tags is None or e.tag in tags]
+                found = _Outline(bool(long)).outline(html.as_py()) if html.is_valid else []
+                chosen = range(len(found)) if tags is None else [i for i, e in enumerate(found) if e.tag in tags]
                 first = 0
-                for k, i in enumerate(chosen, 1):
-                    if long:
-                        e = found[i]
+                while first < len(chosen):
+                    k = min(len(chosen), first + OUT_ROWS - len(out["ord"]))
+                    for at in range(first, k) if long else ():
+                        e = found[chosen[at]]
                         with_texts = e.tag in texts or (leaves and e.leaf)
                         for n, below in long.items():
                             out[n].append(below(e) if with_texts else None)
                             size += len(out[n][-1] or "")
+                        if size >= OUT_CHARS:
+                            k = at + 1
+                            break
                     full = size >= OUT_CHARS or len(out["ord"]) + k - first >= OUT_ROWS
-                    if full or k == len(chosen):
-                        out["page_id"] += [page_id] * (k - first)
-                        out["ord"] += chosen[first:k]
-                        some = [found[j] for j in chosen[first:k]]
-                        for n, value in values.items():
-                            out[n] += map(value, some)
-                        first = k
+                    out["page_id"] += [page_id] * (k - first)
+                    out["ord"] += chosen[first:k]
+                    some = [found[j] for j in chosen[first:k]]
+                    for n, value in values.items():
+                        out[n] += map(value, some)
+                    first = k
                     if full:
                         yield made(out)
                         out, size = {n: [] for n in schema.names}, 0

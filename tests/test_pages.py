@@ -160,3 +160,19 @@ def test_generation_links_parse_pages_once(spark):
     expected = {(1, "one", "https://b/x"), (1, "two", "https://b/z"), (2, "uno", "https://b/x"), (2, "one", "https://b/x"), (2, "two", "https://b/z")}
     assert sorted(tuple(r) for r in found.select("page_id", "name", "url").collect()) == sorted(expected)
     assert pages.generation_links(pages.elements(source, pages.BRIEF_TAGS), "https://b").count() == 5
+
+
+def test_rows_leave_in_bounded_batches(spark, monkeypatch):
+    """Pages larger and smaller than a batch; with texts, batches are cut by their length too."""
+    monkeypatch.setattr(pages, "OUT_ROWS", 7)
+    monkeypatch.setattr(pages, "OUT_CHARS", 20)
+    htmls = ["<p>ab<i>c</i></p>" * n for n in (0, 1, 5, 40, 2)]
+    given = pages.pa.RecordBatch.from_pydict({"page_id": list(range(5)), "html": htmls})
+    kinds = {"page_id": pages.pa.int64(), "ord": pages.pa.int32(), "tag": pages.pa.string(), "own_text": pages.pa.string()}
+    for texts in (False, True):
+        schema = pages.pa.schema(list((kinds | ({"text": pages.pa.string()} if texts else {})).items()))
+        found = list(pages._outlines(frozenset(["p"]), False, None, schema)(iter([given])))
+        rows = [r for b in found for r in b.to_pylist()]
+        assert max(b.num_rows for b in found) <= 7 and [(r["page_id"], r["ord"]) for r in rows] == [(i, o) for i, h in enumerate(htmls) for o in range(2 * h.count("<p>"))]
+        assert [r["own_text"] for r in rows] == ["ab", "c"] * 48
+        assert not texts or [r["text"] for r in rows] == ["abc", None] * 48
